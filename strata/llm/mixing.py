@@ -1,7 +1,7 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
-Each source has a target size; its documents start with copy probability target / size.  Two
-documents with a fractional part exchange mass at random until one is integral, so expected copies
+Each source has a target size; its documents start with copy probability target / size.  Fractional
+probabilities are paired and exchange mass at random until one side is integral, so expected copies
 stay as asked and the words of the source stay exactly as they were; what is left fractional of a
 bucket goes up a reduction tree, and one document of each source is rounded alone at its root.
 """
@@ -50,30 +50,43 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
 def settle(mass: np.ndarray, size: np.ndarray, key: np.ndarray, last: bool) -> np.ndarray:
     """Rounds masses in [0, size] to 0 or size but for one; with ``last`` that one too.
 
-    The fractional unit left so far is paired with the next one, largest sizes first: of each pair the
-    sum and the expectations stay, and one becomes integral.  So what is left at the end is small.
+    Each unit, the largest first, is paired with the pool of all smaller ones: mass moves between the two
+    until the unit or the pool is integral, the pool's members sharing it evenly.  Sums and expectations
+    stay as they were, and what is left fractional at the end is small.
     """
-    draw = uniform(mix64(key)).tolist()
-    mass, sizes, left = mass.tolist(), size.tolist(), -1
-    for j in np.lexsort((key, -size)).tolist():
-        mj, sj = mass[j], sizes[j]
-        if not 0.0 < mj < sj:
+    order = np.lexsort((key, -size))
+    order = order[(mass[order] > 0) & (mass[order] < size[order])]
+    out = np.where(mass >= size, size, 0.0)
+    if not len(order):
+        return out
+    s = size[order]
+    share = mass[order] / s
+    rest = np.concatenate((np.cumsum(s[::-1])[::-1][1:], [0.0])).tolist()
+    held = np.concatenate((np.cumsum((s * share)[::-1])[::-1][1:], [0.0])).tolist()
+    draw = uniform(mix64(key[order])).tolist()
+    a, b, final = 1.0, 0.0, []  # a member of the pool now has share a * share + b
+    for i, (si, fi) in enumerate(zip(s.tolist(), share.tolist(), strict=True)):
+        f = a * fi + b
+        if f < 1e-9 or f > 1 - 1e-9:
+            final.append(si if f > 0.5 else 0.0)
             continue
-        if left < 0:
-            left = j
-            continue
-        mi, si = mass[left], sizes[left]
-        up, down = min(si - mi, mj), min(mi, sj - mj)
-        if draw[j] * (up + down) < down:
-            mass[left], mass[j] = (si, mj - up) if si - mi <= mj else (mi + up, 0.0)
+        m, room = f * si, rest[i]
+        pool = min(max(a * held[i] + b * room, 0.0), room)
+        up, down = min(si - m, pool), min(m, room - pool)
+        if up + down <= 0:
+            final.append(m)
+        elif draw[i] * (up + down) < down:
+            keep = 1 - up / pool if up < pool else 0.0
+            a, b = a * keep, b * keep
+            final.append(si if si - m <= pool else m + up)
         else:
-            mass[left], mass[j] = (0.0, mj + down) if mi <= sj - mj else (mi - down, sj)
-        if 0.0 < mass[left] < si:
-            continue
-        left = j if 0.0 < mass[j] < sj else -1
-    if last and left >= 0:
-        mass[left] = sizes[left] if draw[left] * sizes[left] < mass[left] else 0.0
-    return np.array(mass, np.float64)
+            keep = 1 - down / (room - pool) if down < room - pool else 0.0
+            a, b = a * keep, b * keep + 1 - keep
+            final.append(0.0 if m <= room - pool else m - down)
+    out[order] = final
+    for i in np.flatnonzero((out > 0) & (out < size)) if last else ():
+        out[i] = size[i] if uniform(mix64(~key[i : i + 1]))[0] * size[i] < out[i] else 0.0
+    return out
 
 
 def _settle_group(table: pa.Table, last: bool) -> pa.Table:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, urls
+from . import mixing, quality, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +22,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")), keep=("doc_id",))
+
+
 def queries() -> dict:
-    return {"op1_mix_sources": op1_mix_sources, "op3_url_filter": op3_url_filter}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def _count_terms(terms: tuple[str, ...]) -> str:

@@ -101,9 +101,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word: equal words have equal hashes wherever they stand."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    return mix64(segment_hashes(_BYTE_CODE, data, starts))
+
+
+def segment_hashes(code: np.ndarray, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the bytes from each start to the next one, whose codes are ``code``; a byte of code 0 counts only by the place it takes."""
     n = len(data)
-    sums = np.add.reduceat(_BYTE_CODE[data] * _powers("up", _BASE, n), starts)
-    return mix64(sums * _powers("down", _BASE_INVERSE, n)[starts])
+    return np.add.reduceat(code[data] * _powers("up", _BASE, n), starts) * _powers("down", _BASE_INVERSE, n)[starts]
 
 
 def ngrams(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
