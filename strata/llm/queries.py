@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, neardup, packing, quality, tokenfile, urls
+from . import classifier, fingerprint, linededup, mixing, neardup, packing, quality, tokenfile, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return linededup.deduplicated(docs, removed_col="removed").drop("source")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(tokenfile.write(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2))
 
@@ -50,6 +55,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")), keep=("doc_id",))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    vectors = classifier.contexts(docs)
+    return classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels"), vectors), vectors)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -85,5 +96,22 @@ FROM ruled
 """
 
 
+OP6_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, coalesce('s' || source, 'null') AS site, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+  FROM documents),
+counted AS (
+  SELECT line, min({{'d': doc_id, 'p': pos}}) AS first FROM lines
+  WHERE length(trim(line)) >= {linededup.MIN_CHARS} GROUP BY line HAVING count(DISTINCT site) >= {linededup.MIN_SITES}),
+kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE c.line IS NULL OR c.first = {{'d': l.doc_id, 'p': l.pos}}) AS text,
+    count(*) FILTER (WHERE c.line IS NOT NULL AND c.first <> {{'d': l.doc_id, 'p': l.pos}}) AS removed
+  FROM lines l LEFT JOIN counted c ON l.line = c.line GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(k.removed, 0) AS removed
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL}
+    return {"op3_url_filter": OP3_SQL, "op6_line_dedup": OP6_SQL}
