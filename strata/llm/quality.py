@@ -244,3 +244,22 @@ def judge(docs: DataFrame, model: Model | None, text_col: str = "text", threshol
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array(found[c]) for c in COLUMNS), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))], names=[*names, *added])
 
     return rows.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that ``judge`` keeps, with their own columns, whatever their names."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model) if model else None
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shipped.value if shipped else None
+        for batch in batches:
+            for part, data, offsets in slice_batches(batch, text_col):
+                found = statistics(data, offsets)
+                n = found["n_words"]
+                good = (n >= FAILED_WORDS) & (100 * found["n_repeat_words"] <= FAILED_REPEATS * n)
+                if own:
+                    good &= own.probabilities(data, offsets, found) >= threshold
+                yield part.filter(pa.array(good)).rename_columns(names)
+
+    return docs.mapInArrow(run, docs.schema)
