@@ -102,8 +102,13 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, min_contexts: int, most_bits: float) -> tuple[DataFrame, DataFrame]:
-    """(term, bits, pmi, shared) of the terms to hide, and (doc_id, text_hash, term) of all terms that came into question.
+def _words(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, term) of the different terms of every document."""
+    return docs.select("doc_id", "text_hash", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+
+
+def disclosing_terms(found: DataFrame, docs: DataFrame, min_contexts: int, most_bits: float) -> DataFrame:
+    """(term, bits, pmi, shared) of the terms to hide.
 
     ``found`` has the documents with base spans, ``docs`` all, both as (doc_id, text_hash, text).  Copies
     of a context count once towards ``min_contexts``.
@@ -115,18 +120,16 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, min_contexts: int, most_
     around = around.select("doc_id", "text_hash", "entity", F.xxhash64("terms").alias("context"), F.explode(F.array_distinct("terms")).alias("term"))
     pairs = around.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id", "text_hash").alias("shared"))
     pairs = saved(pairs.where(F.col("contexts") >= min_contexts), "pii-pairs")
-    asked = pairs.select("term").distinct()
-    words = docs.select("doc_id", "text_hash", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    seen = saved(words.join(asked, "term", "left_semi").distinct() if not pairs.isEmpty() else docs.select("doc_id", "text_hash", F.lit("").alias("term")).limit(0), "pii-terms")
-    counts = seen.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
+    # Documents of every term of the corpus, added up before the shuffle.
+    counts = _words(docs).groupBy(F.xxhash64("term").alias("hash")).agg(F.count(F.lit(1)).alias("documents"))
+    counts = counts.join(pairs.select("term", F.xxhash64("term").alias("hash")).distinct(), "hash").drop("hash")
     alone = found.select("doc_id", "text_hash", F.explode("base").alias("s")).select("doc_id", "text_hash", F.xxhash64("s.rank", F.lower("s.text")).alias("entity")).distinct()
     alone = alone.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
     total = docs.agg(F.count(F.lit(1)).alias("total"))
     share = F.least(F.col("shared") / F.col("documents"), F.lit(1.0))
     scored = pairs.join(counts, "term").join(alone, "entity").join(F.broadcast(total))  # one row
     scored = scored.select("term", (-F.log2(share)).alias("bits"), F.log2(share * F.col("total") / F.col("with_entity")).alias("pmi"), "shared")
-    told = scored.where(F.col("bits") <= most_bits).groupBy("term").agg(F.min("bits").alias("bits"), F.max("pmi").alias("pmi"), F.max("shared").alias("shared"))
-    return told, seen
+    return scored.where(F.col("bits") <= most_bits).groupBy("term").agg(F.min("bits").alias("bits"), F.max("pmi").alias("pmi"), F.max("shared").alias("shared"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_contexts: int = MIN_CONTEXTS, most_bits: float = MOST_BITS) -> DataFrame:
@@ -138,15 +141,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_co
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(text_col, F.lit("")).alias("text"))
     base = rows.withColumn("base", entities(F.col("text")))
     with_base = saved(base.where(F.size("base") > 0).distinct(), "pii-found")
-    told, seen = disclosing_terms(with_base, rows, min_contexts, most_bits)
-    told = saved(told.select("term"), "pii-told")
+    told = saved(disclosing_terms(with_base, rows, min_contexts, most_bits).select("term"), "pii-told")
     key = ["doc_id", "text_hash"]
     renamed = lambda d, *c: d.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), *c)
     out = _left(rows.select(*key), renamed(with_base, "base"))
     if told.isEmpty():
         out = out.withColumn("spans", F.col("base"))
     else:
-        hit = seen.join(told, "term").groupBy(*key).agg(F.sort_array(F.collect_set("term")).alias("terms"))
+        hit = _words(rows).join(told, "term", "left_semi").groupBy(*key).agg(F.sort_array(F.collect_set("term")).alias("terms"))
         texts = rows.join(renamed(hit, "terms"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
         pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
         terms = texts.select(*key, _matches(F.col("text"), pattern, 4).alias("extra")).distinct()
