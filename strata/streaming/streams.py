@@ -39,13 +39,18 @@ class FeedReader:
         return self.lake.table_changes(self.table, first, last)
 
 
+def _marked(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream with its watermark, which needs a timestamp of the session's zone; a batch as it is."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, time: str, width: str, keys: list[str], *aggregates, late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Aggregates by time window and keys; the same expression for a batch and for a stream with a watermark."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = _marked(events, time, late)
     return rows.groupBy(F.window(time, width, slide).alias("window"), *keys).agg(*aggregates)
 
 
 def sessions(events: DataFrame, time: str, gap: str, keys: list[str], *aggregates, late: str = "10 minutes") -> DataFrame:
     """Aggregates by session: events of the keys with less than ``gap`` between them."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = _marked(events, time, late)
     return rows.groupBy(F.session_window(time, gap).alias("session"), *keys).agg(*aggregates)
