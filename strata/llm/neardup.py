@@ -4,7 +4,8 @@ Texts of the same words are one node.  Two nodes that agree in a band are candid
 the exact Jaccard similarity of their sets of five-word shingles is 0.8 or more.  In each bucket all
 nodes are first compared with one of them, so that a bucket of copies becomes one component in linear
 work; after that only nodes of different components are compared, in blocks of bounded size, all of
-them.  Nothing of a bucket is capped or skipped but pairs that are already connected.
+them.  Nothing of a bucket is capped or skipped but pairs that are already connected, and a block gives
+no more links than join its components.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
 #: Signatures that agree in fewer registers than this aren't verified: five standard deviations below 0.8.
 ESTIMATE = 0.62
-GROUP = 512
+GROUP = 256
 
 
 def _profiles(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
@@ -86,48 +87,87 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return rows.groupBy("a", "block").applyInArrow(compare, "a long, b long")
 
 
-def _close(table: pa.Table, registers: int, similarity: float) -> pa.Table:
-    """Pairs of one block: nodes of the side that is compared against all of the other, in different components, of similar signatures and sizes."""
-    side = table.column("side").to_numpy()
-    node, root, n = (table.column(c).to_numpy() for c in ("node", "root", "n"))
-    raw = table.column("signature").combine_chunks()
-    codes = np.frombuffer(b"".join(raw.to_pylist()), np.uint16).reshape(len(node), registers)
-    few, all_ = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    out_a, out_b = [], []
+def _close(table: pa.Table, bands: int, rows: int, similarity: float) -> pa.Table:
+    """The rows of one block that have a partner on its other side: in another component, of similar size and signature, and in no earlier band together."""
+    side, node, root, n = (table.column(c).to_numpy() for c in ("side", "node", "root", "n"))
+    codes = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(node), bands * rows)
+    band = table.column("band")[0].as_py()
+    early = codes[:, : band * rows].reshape(len(node), band, rows)
+    few, every = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    use = np.zeros(len(node), bool)
     for x in few:
-        y = all_[root[all_] != root[x]]
+        y = every[root[every] != root[x]]
         y = y[np.minimum(n[y], n[x]) >= similarity * np.maximum(n[y], n[x])]
         y = y[(codes[y] == codes[x]).mean(1) >= ESTIMATE]
-        out_a.append(np.full(len(y), node[x]))
-        out_b.append(node[y])
-    a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-    b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        if band and len(y):
+            y = y[~(early[y] == early[x]).all(2).any(1)]
+        if len(y):
+            use[x] = True
+            use[y] = True
+    return table.select(["key", "i", "j", "side", "node", "root"]).filter(pa.array(use))
+
+
+def _connect(table: pa.Table, similarity: float) -> pa.Table:
+    """Links of similar sets between the two sides of a block, as many as join different components.
+
+    Intersections are counted over an index of the one side's shingles.
+    """
+    side, node, root = (table.column(c).to_numpy() for c in ("side", "node", "root"))
+    raw = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("shingles")]
+    few, every = np.flatnonzero(side == 0).tolist(), np.flatnonzero(side == 1)
+    sizes = np.array([len(raw[y]) for y in every])
+    owner = np.repeat(np.arange(len(every)), sizes)
+    shingle = np.concatenate([raw[y] for y in every]) if len(every) else np.zeros(0, np.uint32)
+    order = np.argsort(shingle, kind="stable")
+    shingle, owner = shingle[order], owner[order]
+    parent: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while parent.get(r, r) != r:
+            r = parent[r]
+        return r
+
+    out: list[tuple[int, int]] = []
+    for x in few:
+        lo, hi = np.searchsorted(shingle, raw[x], "left"), np.searchsorted(shingle, raw[x], "right")
+        many = hi - lo
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+        both = np.bincount(owner[at], minlength=len(every))
+        for k in np.flatnonzero((both >= similarity * (len(raw[x]) + sizes - both) - 1e-9) & (root[every] != root[x])).tolist():
+            y = int(every[k])
+            a, b = find(int(root[x])), find(int(root[y]))
+            if a != b:
+                parent[a] = b
+                out.append((int(node[x]), int(node[y])))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row a document: (doc_id, text_hash, uid, class_id, class_size, links, keep).
 
-    class_id is the least id of the class, links the number of different texts that its text was found
-    linked to, keep true for one row of each class, the one of the least id.  Texts of fewer words than a
+    class_id is the least id of the class, links the number of verified links that its
+    text has among those that hold the class together, keep true for one row of each class, the one of the least id.  Texts of fewer words than a
     shingle are one shingle; those without a word, null among them, are one class.  A class without any
     id has a null class_id.  Repeated rows each have their row; one of them at most is kept.
     """
     rows_of = saved(_profiles(docs, id_col, text_col, words, bands, rows), "profiles")
     nodes = saved(rows_of.groupBy("digest").agg(F.min("uid").alias("node")), "nodes")
-    exploded = rows_of.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi").select("uid", "n", F.explode("keys").alias("key"))
-    buckets = exploded.groupBy("key").agg(F.min("uid").alias("center"), F.max("uid").alias("last")).where("center <> last")
-    inside = saved(exploded.join(buckets.select("key", "center"), "key").select("key", "center", F.col("uid").alias("node"), "n"), "buckets")
+    exploded = rows_of.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi").select("uid", "n", F.posexplode("keys").alias("band", "key"))
+    # The first node of a bucket in an order of its own, so that a node meets different ones in its buckets.
+    order = F.col("uid").bitwiseXOR(F.col("key"))
+    buckets = exploded.groupBy("key").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last")
+    buckets = buckets.select("key", F.col("first").bitwiseXOR(F.col("key")).alias("center"))
+    inside = saved(exploded.join(buckets, "key").select("key", "band", "center", F.col("uid").alias("node"), "n"), "buckets")
     sets = rows_of.join(inside.select(F.col("node").alias("uid")).distinct(), "uid", "left_semi").select(F.col("uid").alias("node"), "n", "signature", "shingles")
     sets = saved(sets, "shingles")
-    # Each bucket against its least node.
+    # Each bucket against its first node.
     size = sets.select(F.col("node").alias("center"), F.col("n").alias("center_n"))
     star = inside.where("node <> center").select("center", "node", "n").distinct().join(size, "center")
     alike = F.least("n", "center_n") >= similarity * F.greatest("n", "center_n")
     links = saved(_verify(star.where(alike).select(F.col("center").alias("a"), F.col("node").alias("b")), sets.select("node", "shingles"), similarity), "links")
     known = saved(components(links), "components")
     # What of each bucket isn't in its largest component, against all of it.
-    rooted = inside.select("key", "node").join(known, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted = inside.select("key", "band", "node").join(known, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
     rooted = saved(rooted, "rooted")
     shares = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("many"))
     split = shares.groupBy("key").agg(F.sum("many").alias("all"), F.max(F.struct("many", "root")).alias("most")).where("all > most.many")
@@ -136,14 +176,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     few = members.where("root <> main").withColumn("i", F.pmod(F.xxhash64("node"), "few_blocks")).withColumn("j", F.explode(upto("all_blocks"))).withColumn("side", F.lit(0))
     every = members.withColumn("j", F.pmod(F.xxhash64("node"), "all_blocks")).withColumn("i", F.explode(upto("few_blocks"))).withColumn("side", F.lit(1))
-    blocks = few.unionByName(every).select("key", "i", "j", "side", "node", "root", "n", "signature")
-    registers = bands * rows
+    blocks = few.unionByName(every).select("key", "band", "i", "j", "side", "node", "root", "n", "signature")
 
     def close(table: pa.Table) -> pa.Table:
-        return _close(table, registers, similarity)
+        return _close(table, bands, rows, similarity)
+
+    def connect(table: pa.Table) -> pa.Table:
+        return _connect(table, similarity)
 
-    more = blocks.groupBy("key", "i", "j").applyInArrow(close, "a long, b long").distinct()
-    links = saved(links.union(_verify(saved(more, "pairs"), sets.select("node", "shingles"), similarity)), "links")
+    near = saved(blocks.groupBy("key", "i", "j").applyInArrow(close, "key long, i long, j long, side int, node long, root long"), "near")
+    more = near.join(sets.select("node", "shingles"), "node").groupBy("key", "i", "j").applyInArrow(connect, "a long, b long")
+    links = saved(links.union(more), "links")
     known = saved(components(links), "components")
     # Back to the documents.
     degrees = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
