@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .textkit import buffers, mix64, ngrams, segment_hashes, slice_batches, slices, spans, word_hashes
 
 #: Labelled documents that the model is fitted on, at most: the lowest hashes of the ids.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2000
 BITS = 18
 #: A document is kept from this calibrated probability of good quality on.
 THRESHOLD = 0.3
