@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import scalar
 from ..operators.joins import asof_join, interval_join, salted_join
@@ -15,14 +17,22 @@ from ..streaming import streams
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-def views(spark: SparkSession, sf_dir: str) -> None:
-    """Temporary views of the plain tables, or of lake tables if the folder is a lake's."""
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+_schemas: dict[str, StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A plain table; the schema of a path is inferred once, later reads need no job for it."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
+def views(spark: SparkSession, sf_dir: str, text: str) -> None:
+    """Temporary views of the plain tables that a statement names."""
+    for name in TABLES:
+        if re.search(rf"(?i)\b{name}\b", text):
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
 #: name: (Spark SQL, DuckDB SQL or None if the same text serves both)
@@ -191,14 +201,14 @@ SQL: dict[str, tuple[str, str | None]] = {
 
 def _sql(text: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        views(spark, sf_dir)
+        views(spark, sf_dir, text)
         return spark.sql(text)
 
     return run
 
 
 def prepared_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir)
+    views(spark, sf_dir, "orders")
     return spark.sql("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > :least AND o_orderstatus = :status", args={"least": 200000.0, "status": "F"})
 
 
