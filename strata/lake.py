@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .operators import feed, maintenance
 from .operators.write import columns_of, parse_partition_key, parse_sort_key, shaped, write
 from .sources.catalog import METADATA_TABLES, Catalog, Conflict, LakeError, changes_text
-from .sources.scan import scan
+from .sources.scan import located, scan
 from .sources.types import NEVER_INLINE, from_spark, to_spark, widens
 
 OPTIONS = {
@@ -200,15 +200,20 @@ class Lake:
             schema = T._parse_datatype_string(schema) if schema.strip() else T.StructType()
         if isinstance(schema, T.StructType):
             schema = [{"name": f.name, "type": from_spark(f.dataType), "nullable": f.nullable, "default": f.metadata.get("CURRENT_DEFAULT")} for f in schema]
-        self._commit([("create_table", (name, schema, str(uuid.uuid4())), {})])
+        self._commit([("create_table", (name, schema, str(uuid.uuid4()), self._base()), {})])
+
+    def _base(self) -> str:
+        """Where new tables go, if not below the data path."""
+        path = str(self.settings["default_table_path"]).rstrip("/")
+        return f"{path}/" if path else ""
 
     def create_table_as(self, name: str, df: DataFrame) -> int:
         """Creates and fills a table in one snapshot; returns the rows written."""
         columns = columns_of(df)
         table_uuid = str(uuid.uuid4())
         numbered = [{"column_id": i + 1, "column_name": c["name"], "column_type": c["type"], "initial_default": None, "default_value": None, "nulls_allowed": 1} for i, c in enumerate(columns)]
-        log: list = [("create_table", (name, columns, table_uuid), {})]
-        files = [] if self.settings["ctas_skip_data"] else write(df, self.data_path, {"table_uuid": table_uuid}, numbered, [], [], self._options(None))
+        log: list = [("create_table", (name, columns, table_uuid, self._base()), {})]
+        files = [] if self.settings["ctas_skip_data"] else write(df, self.data_path, {"path": f"{self._base()}{table_uuid}/"}, numbered, [], [], self._options(None))
         if files:
             log.append(("add_files", (name, files), {}))
         self._commit(log)
@@ -474,10 +479,10 @@ class Lake:
         if inline:
             log.append(("delete_inlined", (name, inline), {}))
         in_files = places.where(~F.col("_path").isin(list(batches))) if batches else places
-        folder = f"{table['table_uuid']}/del-{uuid.uuid4().hex}"
+        folder = f"{table['path'].rstrip('/')}/del-{uuid.uuid4().hex}"
         spread = in_files.select(F.col("_path").alias("data_path"), F.col("_pos").alias("pos"))
-        spread.repartition("data_path").sortWithinPartitions("data_path", "pos").write.parquet(f"{self.data_path}/{folder}")
-        written = self.spark.read.schema("data_path string, pos long").parquet(f"{self.data_path}/{folder}")
+        spread.repartition("data_path").sortWithinPartitions("data_path", "pos").write.parquet(located(self.data_path, folder))
+        written = self.spark.read.schema("data_path string, pos long").parquet(located(self.data_path, folder))
         found = written.groupBy("data_path", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a touched file
         files = {f["path"]: f for f in self.cat.live("data_file", table["table_id"], at)}
         before: dict[int, int] = {}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.catalog import Catalog
-from ..sources.scan import empty, inlined_rows, read_files, without_deleted
+from ..sources.scan import empty, inlined_rows, located, read_files, without_deleted
 
 SYSTEM = ("snapshot_id", "rowid")
 
@@ -54,7 +54,7 @@ def deletions(spark: SparkSession, cat: Catalog, data_path: str, table: dict, st
         files = [f for f in cat.rows("SELECT * FROM data_file WHERE table_id = ?", table_id) if f["data_file_id"] in set(ids)]
         path_of = {f["data_file_id"]: f["path"] for f in files}
         rows = read_files(spark, files, columns, data_path, meta=True)
-        gone = spark.read.schema("data_path string, pos long").parquet(*[f"{data_path}/{p}" for p in sorted({d["path"] for d in deletes})])
+        gone = spark.read.schema("data_path string, pos long").parquet(*[located(data_path, p) for p in sorted({d["path"] for d in deletes})])
         gone = gone.withColumn("f", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
         when = spark.createDataFrame([(d["path"].rsplit("/", 1)[-1], path_of[d["data_file_id"]], d["begin_snapshot"]) for d in deletes], "df string, dp string, snapshot_id long")
         gone = gone.join(when, (F.col("f") == F.col("df")) & (F.col("data_path") == F.col("dp"))).select("data_path", "pos", "snapshot_id")

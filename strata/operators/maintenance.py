@@ -7,7 +7,7 @@ import datetime as dt
 from pyarrow import fs
 
 from ..sources.catalog import LakeError, now
-from ..sources.scan import inlined_rows, read_files, without_deleted
+from ..sources.scan import inlined_rows, located, read_files, without_deleted
 from .write import sort_columns, write
 
 
@@ -81,12 +81,26 @@ def vacuum(lake, name: str) -> list[str]:
     return said
 
 
+def _age(text: str | None) -> dt.timedelta | None:
+    """``7 days`` as a time span."""
+    if not text:
+        return None
+    number, unit = text.split()
+    return dt.timedelta(**{unit.rstrip("s") + "s": float(number)})
+
+
 def expire(lake, older_than: dt.datetime | None = None, versions: list[int] | None = None) -> list[int]:
-    """Forgets snapshots, never the latest; files that no snapshot left shows are scheduled for deletion."""
+    """Forgets snapshots, never the latest; files that no snapshot left shows are scheduled for deletion.
+
+    Without arguments the option expire_older_than says which; without that nothing expires.
+    """
     if lake._open:
         raise LakeError("cannot expire snapshots in a transaction")
     cat = lake.catalog
     latest = cat.latest()
+    age = _age(cat.option("expire_older_than"))
+    if older_than is None and versions is None and age is not None:
+        older_than = dt.datetime.now(dt.timezone.utc) - age
     limit = older_than.astimezone(dt.timezone.utc).isoformat(timespec="microseconds") if older_than else None
     going = [r["snapshot_id"] for r in cat.rows("SELECT * FROM snapshot") if r["snapshot_id"] != latest and ((versions is not None and r["snapshot_id"] in versions) or (limit is not None and r["snapshot_time"] < limit))]
     cat.db.execute("BEGIN IMMEDIATE")
@@ -109,15 +123,15 @@ def expire(lake, older_than: dt.datetime | None = None, versions: list[int] | No
 
 
 def cleanup(lake, older_than: dt.timedelta | None = None) -> list[str]:
-    """Deletes the files scheduled for deletion, all or those scheduled longer ago; returns their paths."""
+    """Deletes the files scheduled for deletion, all or those scheduled longer ago than given or than the option delete_older_than; returns their paths."""
     cat = lake.catalog
-    limit = (dt.datetime.now(dt.timezone.utc) - (older_than or dt.timedelta())).isoformat(timespec="microseconds")
+    limit = (dt.datetime.now(dt.timezone.utc) - (older_than or _age(cat.option("delete_older_than")) or dt.timedelta())).isoformat(timespec="microseconds")
     due = cat.rows("SELECT DISTINCT path FROM files_scheduled_for_deletion WHERE schedule_start <= ?", limit)
     still = {r["path"] for r in cat.rows("SELECT path FROM delete_file")} | {r["path"] for r in cat.rows("SELECT path FROM data_file")}
     out = []
     for r in due:
         if r["path"] not in still:
-            where = f"{lake.data_path}/{r['path']}"
+            where = located(lake.data_path, r["path"])
             files, path = fs.FileSystem.from_uri(where if ":/" in where else f"file://{where}")
             if files.get_file_info(path).is_file:
                 files.delete_file(path)

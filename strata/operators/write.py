@@ -11,7 +11,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scan import encode
+from ..sources.scan import encode, located
 from ..sources.types import ROW_ID, ROW_ID_FIELD, from_spark, to_spark
 
 TRANSFORMS = {"identity": lambda c: c, "year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour}
@@ -67,7 +67,8 @@ def shaped(df: DataFrame, columns: list[dict], row_id: bool = False) -> DataFram
 
 
 def _footer(data_path: str, path: str, ids: dict[str, int]) -> dict:
-    files, name = fs.FileSystem.from_uri(f"{data_path}/{path}" if ":/" in data_path else f"file://{data_path}/{path}")
+    where = located(data_path, path)
+    files, name = fs.FileSystem.from_uri(where if ":/" in where else f"file://{where}")
     with files.open_input_file(name) as file:
         size, meta = file.size(), pq.ParquetFile(file).metadata
     found: dict[str, list[Any]] = {}
@@ -114,11 +115,11 @@ def footers(df: DataFrame, data_path: str, paths: list[str], ids: dict[str, int]
 
 
 def listed(df: DataFrame, data_path: str, folder: str) -> list[str]:
-    """Data files below a folder, relative to the data path."""
-    files, name = fs.FileSystem.from_uri(f"{data_path}/{folder}" if ":/" in data_path else f"file://{data_path}/{folder}")
-    root = name[: -len(folder)]
+    """Data files below a folder, with paths as the catalog has them."""
+    where = located(data_path, folder)
+    files, name = fs.FileSystem.from_uri(where if ":/" in where else f"file://{where}")
     found = files.get_file_info(fs.FileSelector(name, recursive=True, allow_not_found=True))
-    return sorted(f.path[len(root) :] for f in found if f.is_file and f.base_name.endswith(".parquet"))
+    return sorted(folder + f.path[len(name) :] for f in found if f.is_file and f.base_name.endswith(".parquet"))
 
 
 def write(df: DataFrame, data_path: str, table: dict, columns: list[dict], partition: list[dict], sort: list[dict], options: dict, row_id: bool = False) -> list[dict]:
@@ -127,7 +128,7 @@ def write(df: DataFrame, data_path: str, table: dict, columns: list[dict], parti
     With partition keys each file holds one tuple of values: Spark deals the rows out by the keys' folders,
     which are only a layout; the values go to the catalog as text.
     """
-    folder = f"{table['table_uuid']}/{uuid.uuid4().hex}"
+    folder = f"{table['path'].rstrip('/')}/{uuid.uuid4().hex}"
     out = shaped(df, columns, row_id)
     keys = []
     for i, k in enumerate(partition):
@@ -136,16 +137,24 @@ def write(df: DataFrame, data_path: str, table: dict, columns: list[dict], parti
         out = out.withColumn(f"_p{i}", F.concat(F.lit("v"), F.hex(F.encode(f"_p{i}", "utf-8"))))
     if keys:
         out = out.repartition(*keys)
+    elif options.get("per_thread_output") == "false":
+        out = out.coalesce(1)
     if sort or keys:
         out = out.sortWithinPartitions(*keys, *sort_columns(sort))
     writer = out.write.option("compression", options.get("parquet_compression", "snappy"))
     if options.get("parquet_row_group_size_bytes"):
         writer = writer.option("parquet.block.size", options["parquet_row_group_size_bytes"])
+    if options.get("parquet_row_group_size"):
+        writer = writer.option("parquet.block.row.count.limit", options["parquet_row_group_size"])
+    if options.get("parquet_compression_level"):
+        writer = writer.option("parquet.compression.codec.zstd.level", options["parquet_compression_level"])
+    if str(options.get("parquet_version", "1")).lstrip("vV") == "2":
+        writer = writer.option("parquet.writer.version", "v2")
     if options.get("max_records_per_file"):
         writer = writer.option("maxRecordsPerFile", options["max_records_per_file"])
     if keys:
         writer = writer.partitionBy(*keys)
-    writer.parquet(f"{data_path}/{folder}")
+    writer.parquet(located(data_path, folder))
     ids = {c["column_name"]: c["column_id"] for c in columns}
     files = [f for f in footers(df, data_path, listed(df, data_path, folder), ids) if f["record_count"]]
     for f in files:

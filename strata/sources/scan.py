@@ -18,6 +18,11 @@ from pyspark.sql import types as T
 from .catalog import Catalog
 from .types import ROW_ID, read_schema, to_spark
 
+def located(data_path: str, path: str) -> str:
+    """Where a file of the catalog lies: below the data path, unless its own path is absolute."""
+    return path if path.startswith("/") or ":/" in path else f"{data_path}/{path}"
+
+
 #: Operators that a filter for pruning may have.
 OPERATORS = ("=", "<", "<=", ">", ">=", "in")
 
@@ -105,7 +110,7 @@ def read_files(spark: SparkSession, files: list[dict], columns: list[dict], data
     """Rows of data files in one vectorised scan; ``meta`` adds _path, _pos and _row_id."""
     schema = read_schema(columns, row_id=meta)
     names = [c["column_name"] for c in columns]
-    rows = spark.read.option("mergeSchema", "false").schema(schema).parquet(*[f"{data_path}/{f['path']}" for f in files])
+    rows = spark.read.option("mergeSchema", "false").schema(schema).parquet(*[located(data_path, f["path"]) for f in files])
     if not meta:
         return rows.select(*names)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
@@ -159,7 +164,7 @@ def without_deleted(spark: SparkSession, rows: DataFrame, deletes: list[dict], d
     """Rows (with _path and _pos) whose places no delete file names; Spark broadcasts the places if they are few."""
     if not deletes:
         return rows
-    gone = spark.read.schema("data_path string, pos long").parquet(*[f"{data_path}/{p}" for p in sorted({d["path"] for d in deletes})])
+    gone = spark.read.schema("data_path string, pos long").parquet(*[located(data_path, p) for p in sorted({d["path"] for d in deletes})])
     return rows.join(gone, (F.col("_path") == F.col("data_path")) & (F.col("_pos") == F.col("pos")), "left_anti")
 
 

@@ -327,3 +327,20 @@ def test_types(spark, lake):
     assert lake.list_files("va").count() == 1
     lake.create_table("odd", [{"name": "a", "type": "int32"}, {"name": "b", "type": "something_new"}])
     assert dict(lake.table("odd").dtypes) == {"a": "int", "b": "string"}
+
+
+def test_writer_options_and_paths(lake, tmp_path):
+    lake.set("default_table_path", str(tmp_path / "elsewhere"))
+    lake.sql("CREATE TABLE el (a int, b string)")
+    lake.reset("default_table_path")
+    for key, value in (("parquet_compression", "zstd"), ("parquet_compression_level", 5), ("parquet_version", 2), ("parquet_row_group_size", 50), ("per_thread_output", False)):
+        lake.set_option(key, value, "el")
+    lake.insert("el", lake.spark.range(200).selectExpr("cast(id as int) a", "concat('x', id) b").repartition(4))
+    files = lake.list_files("el").collect()
+    assert len(files) == 1 and files[0].data_file.startswith(str(tmp_path / "elsewhere"))
+    lake.sql("DELETE FROM el WHERE a < 100")
+    assert lake.table("el").count() == 100
+    lake.sql("VACUUM el")
+    assert lake.table("el").count() == 100
+    lake.set_option("expire_older_than", "0 seconds")
+    assert lake.expire_snapshots() and lake.cleanup_old_files() and lake.table("el").count() == 100
