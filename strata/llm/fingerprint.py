@@ -22,11 +22,11 @@ from .store import saved
 from .textkit import mix64, spans, word_hashes
 from .tokenfile import partitions
 
-SAMPLES = 64
+SAMPLES = 96
 #: Words whose draws a worker process keeps.
 CACHE = 50_000
 #: Text that is worked on at once.
-CHUNK = 400_000
+CHUNK = 600_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,35 +36,36 @@ class Sampler:
     def __init__(self, samples: int = SAMPLES):
         self.samples = samples
         self.stream = mix64(np.arange(1, samples + 1, dtype=np.uint64))
-        self.slots: dict[int, int] = {}
+        self.words = np.zeros(0, np.uint64)  # ascending
         self.kept = np.zeros((3, 0, samples), np.float32)
 
     def draws(self, hashes: np.ndarray) -> np.ndarray:
-        """r, beta and ln c of each word and sample."""
-        key = hashes[:, None] ^ self.stream
-        half = lambda x: ((x & np.uint64(0xFFFFFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)
-        one, two, three = mix64(key), mix64(key + _GOLD), mix64(key + _GOLD + _GOLD)
-        r = np.maximum(-np.log(half(one) * half(one >> np.uint64(32))), np.float32(1e-6))
-        c = np.maximum(-np.log(half(two) * half(two >> np.uint64(32))), np.float32(1e-30))
-        return np.stack([r, np.minimum(half(three), np.float32(0.99999994)), np.log(c)])
-
-    def table(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Draws of all words given, and each word's row in them."""
-        slots = np.fromiter((self.slots.get(w, -1) for w in words.tolist()), np.int64, len(words))
-        new = np.flatnonzero(slots < 0)
-        made = self.draws(words[new])
-        room = min(len(new), CACHE - len(self.slots))
-        if room > 0:
-            first = len(self.slots)
-            self.slots.update(zip(words[new[:room]].tolist(), range(first, first + room), strict=True))
-            self.kept = np.concatenate((self.kept, made[:, :room]), 1)
-            slots[new[:room]] = np.arange(first, first + room)
-            new, made = new[room:], made[:, room:]
-        old = slots >= 0
+        """r, beta and ln c of each word and sample, from two 64-bit hashes."""
+        part = lambda x, shift, bits: ((x >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.float32) * np.float32(2.0**-bits) + np.float32(2.0 ** -(bits + 1))
+        out = np.empty((3, len(hashes), self.samples), np.float32)
+        one = mix64(hashes[:, None] ^ self.stream)
+        out[0] = np.maximum(-np.log(part(one, 0, 24) * part(one, 24, 24)), np.float32(1e-6))
+        out[1] = part(one, 48, 16)
+        two = mix64(one + _GOLD)
+        out[2] = np.log(np.maximum(-np.log(part(two, 0, 24) * part(two, 24, 24)), np.float32(1e-30)))
+        return out
+
+    def table(self, words: np.ndarray) -> np.ndarray:
+        """Draws of all words given, ascending."""
         out = np.empty((3, len(words), self.samples), np.float32)
-        out[:, old] = self.kept[:, slots[old]]
-        out[:, new] = made
-        return out, np.arange(len(words))
+        slots = np.searchsorted(self.words, words)
+        old = np.zeros(len(words), bool)
+        if len(self.words):
+            old = self.words[np.minimum(slots, len(self.words) - 1)] == words
+            out[:, old] = self.kept[:, slots[old]]
+        made = self.draws(words[~old])
+        out[:, ~old] = made
+        room = min(int((~old).sum()), CACHE - len(self.words))
+        if room > 0:
+            merged = np.concatenate((self.words, words[~old][:room]))
+            order = np.argsort(merged)
+            self.words, self.kept = merged[order], np.concatenate((self.kept, made[:, :room]), 1)[:, order]
+        return out
 
     def codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of each text, and whether it has a word; without one all codes are 0."""
@@ -79,7 +80,7 @@ class Sampler:
         doc = np.repeat(np.arange(len(texts)), counts)
         term, weight = np.unique(doc * len(words) + place, return_counts=True)
         doc, term = term // len(words), term % len(words)
-        draws, _ = self.table(words)
+        draws = self.table(words)
         plain = draws[2] + draws[0] * (draws[1] - 1)  # of weight 1: t is 0
         bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
         for i in np.flatnonzero(counts):
@@ -116,8 +117,9 @@ def _compare(ids: list, texts: list[str], samples: int) -> dict[str, list]:
     """Rows for all documents but the last, each with the one after it."""
     sampler = _sampler.setdefault(samples, Sampler(samples))
     changed = [edited(a, b).encode() for a, b in zip(texts, texts[1:], strict=False)]
-    own, own_has = sampler.codes([t.encode() for t in texts])
-    new, new_has = sampler.codes(changed)
+    codes, has = sampler.codes([*(t.encode() for t in texts), *changed])
+    n = len(texts)
+    own, own_has, new, new_has = codes[:n], has[:n], codes[n:], has[n:]
     write = lambda codes: [row.astype(">u2").tobytes().hex() for row in codes]
     return {"doc_id": ids[:-1], "n_chars": [len(t) for t in texts[:-1]], "edited_sha256": [hashlib.sha256(t).hexdigest() for t in changed], "fingerprint": write(own[:-1]), "edited_fingerprint": write(new), "near_edited": likeness(own[:-1], own_has[:-1], new, new_has).tolist(), "near_next": likeness(own[:-1], own_has[:-1], own[1:], own_has[1:]).tolist()}
 
