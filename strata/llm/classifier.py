@@ -26,6 +26,8 @@ HIDDEN = 32
 TRAIN_ROWS = 8000
 THRESHOLD = 0.3
 _BLOCK = 1 << 10
+#: Partial sums of a block that are added up in one task.
+FAN_IN = 64
 
 
 def index_vectors() -> np.ndarray:
@@ -84,15 +86,19 @@ def contexts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                     sums[sorted_[at]] += np.add.reduceat(around[order], at, axis=0, dtype=np.int64)
         part = TaskContext.get().partitionId()
         blocks = range(0, total, _BLOCK)
-        yield pa.RecordBatch.from_pydict({"block": list(blocks), "part": [part % 64] * len(blocks), "sums": [sums[b : b + _BLOCK].tobytes() for b in blocks]}, schema=pa.schema([("block", pa.int32()), ("part", pa.int32()), ("sums", pa.binary())]))
+        yield pa.RecordBatch.from_pydict({"block": list(blocks), "part": [part] * len(blocks), "sums": [sums[b : b + _BLOCK].tobytes() for b in blocks]}, schema=pa.schema([("block", pa.int32()), ("part", pa.int32()), ("sums", pa.binary())]))
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("sums"))
-        return pa.table({"block": table.column("block")[:1], "part": pa.array([0], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+        return table.slice(0, 1).set_column(table.schema.get_field_index("sums"), "sums", pa.array([total.tobytes()], pa.binary()))
 
     schema = "block int, part int, sums binary"
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(gather, schema)
-    found = parts.groupBy("block", "part").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).collect()
+    texts = docs.select(F.col(text_col).alias("text"))
+    parts, many = texts.mapInArrow(gather, schema), texts.rdd.getNumPartitions()
+    while many > 1:  # at most FAN_IN blocks come together in a task
+        many = -(-many // FAN_IN)
+        parts = parts.withColumn("part", F.pmod("part", F.lit(many))).groupBy("block", "part").applyInArrow(add, schema)
+    found = parts.collect()
     sums = np.zeros((total, SIZE))
     for block, _, raw in found:
         sums[block : block + _BLOCK] = np.frombuffer(raw, np.int64).reshape(-1, SIZE)
