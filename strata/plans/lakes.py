@@ -24,20 +24,21 @@ def _clean() -> None:
         shutil.rmtree(path, ignore_errors=True)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all machines share; only without that setting a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared and (shared.startswith("file:") or "://" not in shared):
-        path = os.path.join(shared.removeprefix("file://").removeprefix("file:"), f"lake-{uuid.uuid4().hex}")
-        os.makedirs(path)
-    else:
-        path = tempfile.mkdtemp(prefix="strata-lake-")
+def _local() -> str:
+    path = tempfile.mkdtemp(prefix="strata-lake-")
     _made.append(path)
     return path
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for data below spark.checkpoint.dir, which all machines share; only without that setting a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{shared.rstrip('/')}/lake-{uuid.uuid4().hex}" if shared else _local()
+
+
 def new_lake(spark: SparkSession) -> Lake:
-    return Lake.open(spark, scratch(spark))
+    """A lake with its catalog on the driver's disk and its data in the shared folder."""
+    return Lake.open(spark, _local(), scratch(spark))
 
 
 def _with(spark: SparkSession, sf_dir: str, *names: str) -> Lake:
@@ -241,7 +242,7 @@ def file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def freeze_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake = _with(spark, sf_dir, "customer")
-    file = os.path.join(scratch(spark), "frozen.db")
+    file = os.path.join(_local(), "frozen.db")
     lake.freeze(file)
     lake.sql("DELETE FROM customer")
     other = new_lake(spark)
@@ -251,7 +252,7 @@ def freeze_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def foreign_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake, other = _with(spark, sf_dir, "nation"), _with(spark, sf_dir, "region")
-    lake.attach("far", os.path.dirname(other.path))
+    lake.attach("far", os.path.dirname(other.path), other.data_path)
     return lake.sql("SELECT n.n_name, r.r_name FROM nation n JOIN far.region r ON n.n_regionkey = r.r_regionkey WHERE n.n_nationkey > 3")
 
 
