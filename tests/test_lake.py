@@ -344,3 +344,27 @@ def test_writer_options_and_paths(lake, tmp_path):
     assert lake.table("el").count() == 100
     lake.set_option("expire_older_than", "0 seconds")
     assert lake.expire_snapshots() and lake.cleanup_old_files() and lake.table("el").count() == 100
+
+
+def test_names_in_queries(spark, lake):
+    lake.sql("CREATE TABLE t (a int, b string)")
+    lake.sql("INSERT INTO t VALUES (1, 'from t'), (2, 'join u -- x')")
+    lake.sql("CREATE TABLE u (a int, c int)")
+    lake.sql("INSERT INTO u VALUES (1, 10), (3, 30)")
+    assert rows(lake.sql("SELECT t.b, u.c FROM t, u WHERE t.a = u.a")) == [("from t", 10)]
+    assert rows(lake.sql("SELECT x.b, y.c FROM t x, u AS y WHERE x.a = y.a")) == [("from t", 10)]
+    assert rows(lake.sql("SELECT b FROM t WHERE b = 'join u -- x' -- FROM u")) == [("join u -- x",)]
+    assert rows(lake.sql("WITH u AS (SELECT 5 AS a) SELECT * FROM u")) == [(5,)]
+    assert rows(lake.sql("WITH w AS (SELECT a FROM t) SELECT count(*) AS n FROM w JOIN u ON w.a = u.a")) == [(1,)]
+    assert rows(lake.sql("SELECT (SELECT max(c) FROM u) AS m, count(*) AS n FROM (SELECT * FROM t WHERE a IN (SELECT a FROM u)) s")) == [(30, 1)]
+    assert rows(lake.sql("SELECT t.a FROM t LEFT JOIN u ON t.a = u.a WHERE u.a IS NULL")) == [(2,)]
+    assert rows(lake.sql('SELECT "b" FROM t WHERE "a" = 1')) == [("from t",)]
+    assert rows(lake.sql("SELECT a FROM t UNION ALL SELECT a FROM u")) == [(1,), (1,), (2,), (3,)]
+    assert rows(lake.sql("SELECT b FROM t WHERE a = :k", {"k": 2})) == [("join u -- x",)]
+    assert rows(lake.sql("SELECT extract(year FROM timestamp_ntz'2024-01-01 00:00:00') AS y, a FROM t WHERE a = 1")) == [(2024, 1)]
+    lake.sql("UPDATE t SET b = 'where a = 1' WHERE a = (SELECT 1)")
+    assert rows(lake.sql("SELECT b FROM public.t WHERE a = 1")) == [("where a = 1",)]
+    lake.sql("DELETE FROM t WHERE a IN (1, 2) AND b LIKE 'join%'")
+    assert lake.table("t").count() == 1
+    lake.sql("INSERT INTO t SELECT a, cast(c AS string) FROM u WHERE a > 1")
+    assert rows(lake.table("t")) == [(1, "where a = 1"), (3, "30")]
