@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from .components import components
 from .probminhash import band_keys, distinct, signatures
-from .store import saved
+from .store import dropped, saved
 from .textkit import ngrams, slice_batches, spans, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
@@ -160,6 +160,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     inside = saved(exploded.join(buckets, "key").select("key", "band", "center", F.col("uid").alias("node"), "n"), "buckets")
     sets = rows_of.join(inside.select(F.col("node").alias("uid")).distinct(), "uid", "left_semi").select(F.col("uid").alias("node"), "n", "signature", "shingles")
     sets = saved(sets, "shingles")
+    slim = saved(rows_of.select("doc_id", "text_hash", "uid", "digest"), "documents")
+    dropped(rows_of)  # what is read from here on has been written
     # Each bucket against its first node.
     size = sets.select(F.col("node").alias("center"), F.col("n").alias("center_n"))
     star = inside.where("node <> center").select("center", "node", "n").distinct().join(size, "center")
@@ -192,7 +194,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     degrees = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degrees = degrees.select(F.col("a").alias("node")).union(degrees.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     roots = nodes.join(known, "node", "left").join(degrees, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    placed = rows_of.select("doc_id", "text_hash", "uid", "digest").join(roots, "digest").drop("digest")
+    placed = slim.join(roots, "digest").drop("digest")
     placed = saved(placed, "placed")
     first = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first"))
     return placed.join(first, "root").select("doc_id", "text_hash", "uid", "class_id", "class_size", "links", (F.col("uid") == F.col("first.uid")).alias("keep"))

@@ -54,7 +54,7 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, offsets: np.ndarray, reg
         time[live] = at[:, -1]
         live = live[at[:, -1] <= limit[doc[live]]]
         step += many
-        many = min(64, many * 2)
+        many = min(16, many * 2)
     out = owner.reshape(n, registers)
     single = np.flatnonzero(sizes == 1)
     out[single] = hashes[offsets[single]][:, None]
