@@ -368,3 +368,12 @@ def test_names_in_queries(spark, lake):
     assert lake.table("t").count() == 1
     lake.sql("INSERT INTO t SELECT a, cast(c AS string) FROM u WHERE a > 1")
     assert rows(lake.table("t")) == [(1, "where a = 1"), (3, "30")]
+
+
+def test_unnest(lake):
+    lake.sql("CREATE TABLE un (id int, val string)")
+    assert tag(lake, "INSERT INTO un SELECT UNNEST(ARRAY[1, 2, 3]), UNNEST(ARRAY['a', 'b', 'c'])") == "INSERT 0 3"
+    assert tag(lake, "INSERT INTO un SELECT UNNEST(ARRAY[4, 5]) AS id, UNNEST(ARRAY['d', NULL]) AS val") == "INSERT 0 2"
+    assert rows(lake.sql("SELECT * FROM un WHERE id > 3 AND val IS NOT NULL")) == [(4, "d")]
+    assert rows(lake.sql("SELECT x + 1 AS y FROM UNNEST(ARRAY[1, 2]) AS q(x)")) == [(2,), (3,)]
+    assert lake.table("un").count() == 5
