@@ -114,17 +114,17 @@ _sampler: dict[int, Sampler] = {}
 
 
 def _compare(ids: list, texts: list[str], samples: int) -> dict[str, list]:
-    """Rows for all documents but the last, each with the one after it."""
+    """Rows for all documents but the last, each with the one after it; hashes and codes as bytes."""
     sampler = _sampler.setdefault(samples, Sampler(samples))
     changed = [edited(a, b).encode() for a, b in zip(texts, texts[1:], strict=False)]
     codes, has = sampler.codes([*(t.encode() for t in texts), *changed])
     n = len(texts)
     own, own_has, new, new_has = codes[:n], has[:n], codes[n:], has[n:]
-    write = lambda codes: [row.astype(">u2").tobytes().hex() for row in codes]
-    return {"doc_id": ids[:-1], "n_chars": [len(t) for t in texts[:-1]], "edited_sha256": [hashlib.sha256(t).hexdigest() for t in changed], "fingerprint": write(own[:-1]), "edited_fingerprint": write(new), "near_edited": likeness(own[:-1], own_has[:-1], new, new_has).tolist(), "near_next": likeness(own[:-1], own_has[:-1], own[1:], own_has[1:]).tolist()}
+    write = lambda codes: [row.astype(">u2").tobytes() for row in codes]
+    return {"doc_id": ids[:-1], "n_chars": [len(t) for t in texts[:-1]], "edited_sha256": [hashlib.sha256(t).digest() for t in changed], "fingerprint": write(own[:-1]), "edited_fingerprint": write(new), "near_edited": likeness(own[:-1], own_has[:-1], new, new_has).tolist(), "near_next": likeness(own[:-1], own_has[:-1], own[1:], own_has[1:]).tolist()}
 
 
-COLUMNS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COLUMNS = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -149,7 +149,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         blank = {name: [None] * n for name in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
         return pa.RecordBatch.from_pydict(blank | rows | {"role": [role] * n, "range": [part] * n, "text": texts or [None] * n}, schema=schema)
 
-    fields = [("doc_id", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("role", pa.int32()), ("range", pa.int32()), ("text", pa.string())]
+    fields = [("doc_id", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("role", pa.int32()), ("range", pa.int32()), ("text", pa.string())]
     schema = pa.schema(fields)
     final = pa.schema(fields[:7])
 
@@ -187,4 +187,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_pydict(_compare([doc_id, None], [text, following], samples), schema=final)
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    return made.where("role = 0").select(*names).unionByName(tails.mapInArrow(meet, f"doc_id {kind}, {COLUMNS}"))
+    out = made.where("role = 0").select(*names).unionByName(tails.mapInArrow(meet, f"doc_id {kind}, {COLUMNS}"))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in names[2:5]})
