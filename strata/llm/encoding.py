@@ -11,11 +11,12 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Pre-tokens whose ids a worker process keeps; later ones are encoded each time, so memory is bounded.
-CACHE = 250_000
+CACHE = 350_000
 #: Characters on which Python's letters, digits, blanks and lower case are surely the library's, and which
 #: no normal form joins or changes: ASCII, Latin, Cyrillic, general punctuation, kana, Han and Hangul.
 #: A text with any other character is encoded by the library as it is.
 _OTHER = re.compile("[^\\t\\n\\r -~¡-¬®-±´-¸º»¿-įı-ǃǍ-ǰЀ-ҁҊ-ԯ‐-‧‰-⁞ぁ-ゖァ-ヺ一-鿿가-힣]")
+_PLAIN = b"\t\n\r" + bytes(range(32, 127))
 #: The patterns of the two pre-tokenizers that are known here, over those characters.
 _BYTE_LEVEL = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _LOWER_WORDS = re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\s\w]|_)+")
@@ -80,7 +81,8 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers, with the end id; null is empty."""
         text = text or ""
-        if self.pattern is None or _OTHER.search(text) or any(x in text for x in self.special):
+        rest = text.encode().translate(None, _PLAIN)  # what isn't ASCII stays, in whole characters
+        if self.pattern is None or (rest and _OTHER.search(rest.decode())) or any(x in text for x in self.special):
             return self.whole(text) + self.end
         pieces = self.pattern.findall(text.lower() if self.lower else text)
         return b"".join(map(self.ids.__getitem__, pieces)) + self.end
