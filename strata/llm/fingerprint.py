@@ -24,9 +24,11 @@ from .tokenfile import partitions
 
 SAMPLES = 96
 #: Words whose draws a worker process keeps.
-CACHE = 50_000
+CACHE = 40_000
+#: Words drawn for at once.
+BLOCK = 2048
 #: Text that is worked on at once.
-CHUNK = 600_000
+CHUNK = 300_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,8 +38,9 @@ class Sampler:
     def __init__(self, samples: int = SAMPLES):
         self.samples = samples
         self.stream = mix64(np.arange(1, samples + 1, dtype=np.uint64))
-        self.words = np.zeros(0, np.uint64)  # ascending
-        self.kept = np.zeros((3, 0, samples), np.float32)
+        self.words = np.zeros(0, np.uint64)  # ascending, and where each one's draws are kept
+        self.slots = np.zeros(0, np.int64)
+        self.kept = np.empty((3, CACHE, samples), np.float32)
 
     def draws(self, hashes: np.ndarray) -> np.ndarray:
         """r, beta and ln c of each word and sample, from two 64-bit hashes."""
@@ -53,18 +56,20 @@ class Sampler:
     def table(self, words: np.ndarray) -> np.ndarray:
         """Draws of all words given, ascending."""
         out = np.empty((3, len(words), self.samples), np.float32)
-        slots = np.searchsorted(self.words, words)
         old = np.zeros(len(words), bool)
         if len(self.words):
-            old = self.words[np.minimum(slots, len(self.words) - 1)] == words
-            out[:, old] = self.kept[:, slots[old]]
-        made = self.draws(words[~old])
-        out[:, ~old] = made
-        room = min(int((~old).sum()), CACHE - len(self.words))
+            place = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            old = self.words[place] == words
+            out[:, old] = self.kept[:, self.slots[place[old]]]
+        new = np.flatnonzero(~old)
+        for lo in range(0, len(new), BLOCK):
+            out[:, new[lo : lo + BLOCK]] = self.draws(words[new[lo : lo + BLOCK]])
+        room, first = min(len(new), CACHE - len(self.words)), len(self.words)
         if room > 0:
-            merged = np.concatenate((self.words, words[~old][:room]))
+            self.kept[:, first : first + room] = out[:, new[:room]]
+            merged, slots = np.concatenate((self.words, words[new[:room]])), np.concatenate((self.slots, np.arange(first, first + room)))
             order = np.argsort(merged)
-            self.words, self.kept = merged[order], np.concatenate((self.kept, made[:, :room]), 1)[:, order]
+            self.words, self.slots = merged[order], slots[order]
         return out
 
     def codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
