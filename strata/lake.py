@@ -483,7 +483,7 @@ class Lake:
         spread = in_files.select(F.col("_path").alias("data_path"), F.col("_pos").alias("pos"))
         spread.repartition("data_path").sortWithinPartitions("data_path", "pos").write.parquet(located(self.data_path, folder))
         written = self.spark.read.schema("data_path string, pos long").parquet(located(self.data_path, folder))
-        found = written.groupBy("data_path", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a touched file
+        found = written.groupBy("data_path", F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a touched file
         files = {f["path"]: f for f in self.cat.live("data_file", table["table_id"], at)}
         before: dict[int, int] = {}
         for d in self.cat.live("delete_file", table["table_id"], at):

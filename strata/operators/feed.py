@@ -55,7 +55,7 @@ def deletions(spark: SparkSession, cat: Catalog, data_path: str, table: dict, st
         path_of = {f["data_file_id"]: f["path"] for f in files}
         rows = read_files(spark, files, columns, data_path, meta=True)
         gone = spark.read.schema("data_path string, pos long").parquet(*[located(data_path, p) for p in sorted({d["path"] for d in deletes})])
-        gone = gone.withColumn("f", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+        gone = gone.withColumn("f", F.col("_metadata.file_name"))
         when = spark.createDataFrame([(d["path"].rsplit("/", 1)[-1], path_of[d["data_file_id"]], d["begin_snapshot"]) for d in deletes], "df string, dp string, snapshot_id long")
         gone = gone.join(when, (F.col("f") == F.col("df")) & (F.col("data_path") == F.col("dp"))).select("data_path", "pos", "snapshot_id")
         parts.append(rows.join(gone, (F.col("_path") == F.col("data_path")) & (F.col("_pos") == F.col("pos"))).select("snapshot_id", F.col("_row_id").alias("rowid"), *names))

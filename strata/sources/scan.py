@@ -113,10 +113,12 @@ def read_files(spark: SparkSession, files: list[dict], columns: list[dict], data
     rows = spark.read.option("mergeSchema", "false").schema(schema).parquet(*[located(data_path, f["path"]) for f in files])
     if not meta:
         return rows.select(*names)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    rows = rows.select(*names, ROW_ID, name.alias("_file"), F.col("_metadata.row_index").alias("_pos"))
-    starts = spark.createDataFrame([(f["path"].rsplit("/", 1)[-1], f["path"], f["row_id_start"]) for f in files], "f string, _path string, start long")
-    rows = rows.join(starts, F.col("_file") == F.col("f"))
+    rows = rows.select(*names, ROW_ID, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_pos"))
+    starts = [(f["path"].rsplit("/", 1)[-1], f["path"], f["row_id_start"]) for f in files]
+    if len(starts) == 1:
+        _, path, start = starts[0]
+        return rows.select(*names, F.lit(path).alias("_path"), "_pos", F.coalesce(ROW_ID, F.lit(start).cast("long") + F.col("_pos")).alias("_row_id"))
+    rows = rows.join(spark.createDataFrame(starts, "f string, _path string, start long"), F.col("_file") == F.col("f"))
     return rows.select(*names, "_path", "_pos", F.coalesce(ROW_ID, F.col("start") + F.col("_pos")).alias("_row_id"))
 
 
