@@ -4,7 +4,9 @@ Information-theoretic sanitisation: an entity e (a found value) that is hidden c
 term t that occurs with it.  Over the whole corpus, t leaves -log2 P(e | t) bits of e unknown, where
 P(e | t) is the share of t's documents in which t stands close to e; equivalently the pointwise mutual
 information falls short of e's own information by that much.  A term that leaves no more than
-``most_bits`` and that was seen in enough different contexts of e is a span too, wherever it occurs.
+``most_bits`` and that was seen in enough different contexts of e is a span too, wherever it occurs:
+in ``min_contexts`` of them, or, if e has fewer, in all it has, which must be two or more, as a single
+context ties no word to e rather than to its text.
 """
 
 from __future__ import annotations
@@ -111,15 +113,17 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, min_contexts: int, most_
     """(term, bits, pmi, shared) of the terms to hide.
 
     ``found`` has the documents with base spans, ``docs`` all, both as (doc_id, text_hash, text).  Copies
-    of a context count once towards ``min_contexts``.
+    of a context count once, towards ``min_contexts`` and for the contexts of an entity.
     """
     around = found.select("doc_id", "text_hash", "text", F.explode("base").alias("s"))
     left = F.slice(F.reverse(_terms(F.substring(F.col("text"), F.greatest(F.col("s.start") - 199, F.lit(1)), F.least(F.col("s.start"), F.lit(200))))), 1, CONTEXT)
     right = F.slice(_terms(F.substring(F.col("text"), F.col("s.end") + 1, F.lit(200))), 1, CONTEXT)
     around = around.select("doc_id", "text_hash", F.xxhash64("s.rank", F.lower("s.text")).alias("entity"), F.concat(left, right).alias("terms"))
-    around = around.select("doc_id", "text_hash", "entity", F.xxhash64("terms").alias("context"), F.explode(F.array_distinct("terms")).alias("term"))
+    around = around.select("doc_id", "text_hash", "entity", F.xxhash64("terms").alias("context"), "terms")
+    needed = around.groupBy("entity").agg(F.least(F.lit(min_contexts), F.greatest(F.lit(2), F.count_distinct("context"))).alias("needed"))
+    around = around.select("doc_id", "text_hash", "entity", "context", F.explode(F.array_distinct("terms")).alias("term"))
     pairs = around.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id", "text_hash").alias("shared"))
-    pairs = saved(pairs.where(F.col("contexts") >= min_contexts), "pii-pairs")
+    pairs = saved(pairs.join(needed, "entity").where("contexts >= needed").drop("needed"), "pii-pairs")
     # Documents of every term of the corpus, added up before the shuffle.
     counts = _words(docs).groupBy(F.xxhash64("term").alias("hash")).agg(F.count(F.lit(1)).alias("documents"))
     counts = counts.join(pairs.select("term", F.xxhash64("term").alias("hash")).distinct(), "hash").drop("hash")

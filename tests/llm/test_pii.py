@@ -55,3 +55,14 @@ def test_terms_that_give_an_entity_away(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
     clean = {r.doc_id: r.text for r in pii.sanitised(frame).collect()}
     assert clean[40] == "Mr  was here" and clean[50] == "unusual words around [EMAIL] stand together" and clean[10] == rows[5][1]
+
+
+def test_terms_of_an_entity_with_two_contexts(spark):
+    rows = [(1, "Blenkinsop wrote to jo@x.org from paris"), (2, "when Blenkinsop told jo@x.org about rome"), (3, "Mr Blenkinsop was here")]
+    rows += [(4, "Quibbleton uses kim@y.org daily"), (5, "uses daily")]
+    # Of three contexts two aren't all.
+    rows += [(6, "Farthingale called al@z.org once"), (7, "Farthingale called al@z.org twice"), (8, "nobody called al@z.org ever")]
+    got = {r.doc_id: r.spans for r in spans(spark, rows)}
+    assert got[1] == "term:0:10,email:20:28" and got[3] == "term:3:13"
+    assert got[4] == "email:16:25" and got[5] == ""
+    assert got[6] == "term:12:18,email:19:27" and got[8] == "term:7:13,email:14:22"
