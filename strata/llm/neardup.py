@@ -1,6 +1,7 @@
 """Near duplicates: ProbMinHash signatures in bands, exact verification, connected components.
 
-Texts of the same words are one node.  Two nodes that agree in a band are candidates; they are linked if
+Texts of the same words are one node.  All shingles weigh the same in the signatures, so that registers
+agree as often as the sets are similar.  Two nodes that agree in a band are candidates; they are linked if
 the exact Jaccard similarity of their sets of five-word shingles is 0.8 or more.  In each bucket all
 nodes are first compared with one of them, so that a bucket of copies becomes one component in linear
 work; after that only nodes of different components are compared, in blocks of bounded size, all of
@@ -27,8 +28,6 @@ from .textkit import ngrams, slice_batches, spans, word_hashes
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 agrees in one of the bands with probability 0.99997, one of 0.7 with 0.992, one of 0.4 with 0.24.
 BANDS, ROWS = 26, 5
-#: Signatures that agree in fewer registers than this aren't verified: five standard deviations below 0.8.
-ESTIMATE = 0.62
 GROUP = 256
 
 
@@ -45,8 +44,8 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str, words: int, bands: in
             for part, data, offsets in slice_batches(batch, "text"):
                 starts, _, first = spans(data, offsets)
                 grams, at = ngrams(word_hashes(data, starts), first, words)
-                sets, counts, at = distinct(grams, at)
-                signature = signatures(sets, 1.0 + np.log(counts), at, bands * rows)
+                sets, _, at = distinct(grams, at)
+                signature = signatures(sets, np.ones(len(sets)), at, bands * rows)
                 keys = band_keys(signature, bands, rows).view(np.int64)
                 some = np.diff(at) > 0
                 raw, n = data.tobytes(), len(offsets) - 1
@@ -88,7 +87,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _close(table: pa.Table, bands: int, rows: int, similarity: float) -> pa.Table:
-    """The rows of one block that have a partner on its other side: in another component, of similar size and signature, and in no earlier band together."""
+    """The rows of one block that have a partner on its other side: in another component, of similar size, and in no earlier band together."""
     side, node, root, n = (table.column(c).to_numpy() for c in ("side", "node", "root", "n"))
     codes = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(node), bands * rows)
     band = table.column("band")[0].as_py()
@@ -98,7 +97,6 @@ def _close(table: pa.Table, bands: int, rows: int, similarity: float) -> pa.Tabl
     for x in few:
         y = every[root[every] != root[x]]
         y = y[np.minimum(n[y], n[x]) >= similarity * np.maximum(n[y], n[x])]
-        y = y[(codes[y] == codes[x]).mean(1) >= ESTIMATE]
         if band and len(y):
             y = y[~(early[y] == early[x]).all(2).any(1)]
         if len(y):

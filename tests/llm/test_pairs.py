@@ -142,3 +142,15 @@ def test_samples_agree_as_often_as_the_weights_do():
         b = [f"t{i}" for i in range(30) for _ in range(int(rng.integers(0, 5)))]
         codes, has = sampler.codes([" ".join(a).encode(), " ".join(b).encode()])
         assert has.all() and abs((codes[0] == codes[1]).mean() - generalised(" ".join(a), " ".join(b))) < 0.09
+
+
+def test_repeated_passages_count_once(spark):
+    """Pairs of set similarity 0.82, of which one text has half of the other 30 times."""
+    rows = []
+    for k in range(150):
+        words = [f"p{k}w{i}" for i in range(104)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:54] * 30 + words[54:96] + [f"p{k}v{i}" for i in range(8)]))]
+    a, b = shingles(rows[0][1]), shingles(rows[1][1])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.83
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.class_size != 2 for r in got) == 0 and all(r.class_id == r.doc_id // 2 * 2 for r in got)
