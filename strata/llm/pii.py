@@ -104,6 +104,11 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
 
 
+def _nearest(window: Column, whole: Column, text: Column) -> Column:
+    """The terms of the window if it is the whole text or has more than a context, as one may be cut at its edge; else of the text."""
+    return _bind(_terms(window), lambda terms: F.when(whole | (F.size(terms) > CONTEXT), terms).otherwise(_terms(text)))
+
+
 def _words(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, term) of the different terms of every document."""
     return docs.select("doc_id", "text_hash", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
@@ -116,8 +121,10 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, min_contexts: int, most_
     of a context count once, towards ``min_contexts`` and for the contexts of an entity.
     """
     around = found.select("doc_id", "text_hash", "text", F.explode("base").alias("s"))
-    left = F.slice(F.reverse(_terms(F.substring(F.col("text"), F.greatest(F.col("s.start") - 199, F.lit(1)), F.least(F.col("s.start"), F.lit(200))))), 1, CONTEXT)
-    right = F.slice(_terms(F.substring(F.col("text"), F.col("s.end") + 1, F.lit(200))), 1, CONTEXT)
+    start, end, text = F.col("s.start"), F.col("s.end"), F.col("text")
+    left = _nearest(F.substring(text, F.greatest(start - 199, F.lit(1)), F.least(start, F.lit(200))), start <= 200, F.substring(text, F.lit(1), start))
+    left = F.slice(F.reverse(left), 1, CONTEXT)
+    right = F.slice(_nearest(F.substring(text, end + 1, F.lit(200)), F.length(text) - end <= 200, F.substring(text, end + 1, F.length(text))), 1, CONTEXT)
     around = around.select("doc_id", "text_hash", F.xxhash64("s.rank", F.lower("s.text")).alias("entity"), F.concat(left, right).alias("terms"))
     around = around.select("doc_id", "text_hash", "entity", F.xxhash64("terms").alias("context"), "terms")
     needed = around.groupBy("entity").agg(F.least(F.lit(min_contexts), F.greatest(F.lit(2), F.count_distinct("context"))).alias("needed"))

@@ -66,3 +66,13 @@ def test_terms_of_an_entity_with_two_contexts(spark):
     assert got[1] == "term:0:10,email:20:28" and got[3] == "term:3:13"
     assert got[4] == "email:16:25" and got[5] == ""
     assert got[6] == "term:12:18,email:19:27" and got[8] == "term:7:13,email:14:22"
+
+
+def test_context_is_not_cut_by_distance(spark):
+    gap = "1 a " * 200
+    rows = [(1, f"Blenkinsop {gap}jo@x.org {gap}Quibbleton"), (2, f"Blenkinsop {gap}about jo@x.org {gap}Quibbleton")]
+    # The edge of a window of 200 characters would leave "inds" of the first word.
+    rows += [(i, f"kinds {'b' * 194} kim@y.org {word}") for i, word in ((3, "once"), (4, "twice"))] + [(5, "inds")]
+    got = {r.doc_id: r.spans for r in spans(spark, rows)}
+    assert got[1] == f"term:0:10,email:{11 + len(gap)}:{19 + len(gap)},term:{20 + 2 * len(gap)}:{30 + 2 * len(gap)}"
+    assert got[5] == ""
