@@ -109,6 +109,11 @@ def _nearest(window: Column, whole: Column, text: Column) -> Column:
     return _bind(_terms(window), lambda terms: F.when(whole | (F.size(terms) > CONTEXT), terms).otherwise(_terms(text)))
 
 
+def _document() -> Column:
+    """A hash that rows of equal id and text share, null ids among them."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text_hash")
+
+
 def _words(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, term) of the different terms of every document."""
     return docs.select("doc_id", "text_hash", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
@@ -118,7 +123,8 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, min_contexts: int, most_
     """(term, bits, pmi, shared) of the terms to hide.
 
     ``found`` has the documents with base spans, ``docs`` all, both as (doc_id, text_hash, text).  Copies
-    of a context count once, towards ``min_contexts`` and for the contexts of an entity.
+    of a context count once, towards ``min_contexts`` and for the contexts of an entity, and rows that
+    agree in id and text are one document wherever documents are counted.
     """
     around = found.select("doc_id", "text_hash", "text", F.explode("base").alias("s"))
     start, end, text = F.col("s.start"), F.col("s.end"), F.col("text")
@@ -129,14 +135,18 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, min_contexts: int, most_
     around = around.select("doc_id", "text_hash", "entity", F.xxhash64("terms").alias("context"), "terms")
     needed = around.groupBy("entity").agg(F.least(F.lit(min_contexts), F.greatest(F.lit(2), F.count_distinct("context"))).alias("needed"))
     around = around.select("doc_id", "text_hash", "entity", "context", F.explode(F.array_distinct("terms")).alias("term"))
-    pairs = around.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id", "text_hash").alias("shared"))
+    pairs = around.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct(_document()).alias("shared"))
     pairs = saved(pairs.join(needed, "entity").where("contexts >= needed").drop("needed"), "pii-pairs")
-    # Documents of every term of the corpus, added up before the shuffle.
-    counts = _words(docs).groupBy(F.xxhash64("term").alias("hash")).agg(F.count(F.lit(1)).alias("documents"))
+    # Documents of every term of the corpus, added up before the shuffle; what repeated rows add goes again.
+    again = saved(docs.groupBy(_document().alias("document")).agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "pii-again")
+    again = docs.withColumn("document", _document()).join(again, "document").dropDuplicates(["document"])
+    each = F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")
+    words = docs.select(F.lit(1).cast("long").alias("times"), each).union(again.select(1 - F.col("many"), each))
+    counts = words.groupBy(F.xxhash64("term").alias("hash")).agg(F.sum("times").alias("documents"))
     counts = counts.join(pairs.select("term", F.xxhash64("term").alias("hash")).distinct(), "hash").drop("hash")
-    alone = found.select("doc_id", "text_hash", F.explode("base").alias("s")).select("doc_id", "text_hash", F.xxhash64("s.rank", F.lower("s.text")).alias("entity")).distinct()
+    alone = found.select(_document().alias("document"), F.explode("base").alias("s")).select("document", F.xxhash64("s.rank", F.lower("s.text")).alias("entity")).distinct()
     alone = alone.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
+    total = docs.agg(F.count_distinct(_document()).alias("total"))
     share = F.least(F.col("shared") / F.col("documents"), F.lit(1.0))
     scored = pairs.join(counts, "term").join(alone, "entity").join(F.broadcast(total))  # one row
     scored = scored.select("term", (-F.log2(share)).alias("bits"), F.log2(share * F.col("total") / F.col("with_entity")).alias("pmi"), "shared")

@@ -76,3 +76,10 @@ def test_context_is_not_cut_by_distance(spark):
     got = {r.doc_id: r.spans for r in spans(spark, rows)}
     assert got[1] == f"term:0:10,email:{11 + len(gap)}:{19 + len(gap)},term:{20 + 2 * len(gap)}:{30 + 2 * len(gap)}"
     assert got[5] == ""
+
+
+def test_repeated_rows_and_null_ids_count_as_documents_once(spark):
+    rows = [(1, "Blenkinsop wrote to jo@x.org from paris")] * 3 + [(2, "when Blenkinsop told jo@x.org about rome")] * 3
+    rows += [(None, "Quibbleton called al@z.org once"), (None, "later Quibbleton heard al@z.org twice"), (3, "Mr Blenkinsop met Quibbleton")]
+    got = {r.doc_id: r.spans for r in spans(spark, rows)}
+    assert got[3] == "term:3:13,term:18:28"
