@@ -1,9 +1,9 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Each source has a target size; its documents start with copy probability target / size.  Fractional
-probabilities are paired and exchange mass at random until one side is integral, so expected copies
-stay as asked and the words of the source stay exactly as they were; what is left fractional of a
-bucket goes up a reduction tree, and one document of each source is rounded alone at its root.
+documents are paired and exchange mass at random until one of them is integral, so expected copies
+stay as asked and the words of the source stay exactly as they were; the one document of each bucket
+that is left fractional goes up a reduction tree, and one of each source is rounded alone at its root.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import saved
+from .store import attached, column, saved
 from .textkit import mix64, uniform
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,42 +50,51 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
 def settle(mass: np.ndarray, size: np.ndarray, key: np.ndarray, last: bool) -> np.ndarray:
     """Rounds masses in [0, size] to 0 or size but for one; with ``last`` that one too.
 
-    Each unit, the largest first, is paired with the pool of all smaller ones: mass moves between the two
-    until the unit or the pool is integral, the pool's members sharing it evenly.  Sums and expectations
-    stay as they were, and what is left fractional at the end is small.
+    The largest fractional unit is paired with the next largest; where that one hasn't room or mass enough
+    to settle it either way, with the next ones too, as many as it takes.  The unit becomes full with the
+    probability of its share, at the cost of its partners, or else empty and they gain: in such proportion
+    that every expectation and the sum stay as they were.  So the unit that is left fractional at the end
+    is a small one, unless all smaller ones together couldn't settle it.
     """
     order = np.lexsort((key, -size))
     order = order[(mass[order] > 0) & (mass[order] < size[order])]
     out = np.where(mass >= size, size, 0.0)
     if not len(order):
         return out
-    s = size[order]
-    share = mass[order] / s
-    rest = np.concatenate((np.cumsum(s[::-1])[::-1][1:], [0.0])).tolist()
-    held = np.concatenate((np.cumsum((s * share)[::-1])[::-1][1:], [0.0])).tolist()
-    draw = uniform(mix64(key[order])).tolist()
-    a, b, final = 1.0, 0.0, []  # a member of the pool now has share a * share + b
-    for i, (si, fi) in enumerate(zip(s.tolist(), share.tolist(), strict=True)):
-        f = a * fi + b
-        if f < 1e-9 or f > 1 - 1e-9:
-            final.append(si if f > 0.5 else 0.0)
-            continue
-        m, room = f * si, rest[i]
-        pool = min(max(a * held[i] + b * room, 0.0), room)
-        up, down = min(si - m, pool), min(m, room - pool)
-        if up + down <= 0:
-            final.append(m)
-        elif draw[i] * (up + down) < down:
-            keep = 1 - up / pool if up < pool else 0.0
-            a, b = a * keep, b * keep
-            final.append(si if si - m <= pool else m + up)
-        else:
-            keep = 1 - down / (room - pool) if down < room - pool else 0.0
-            a, b = a * keep, b * keep + 1 - keep
-            final.append(0.0 if m <= room - pool else m - down)
-    out[order] = final
-    for i in np.flatnonzero((out > 0) & (out < size)) if last else ():
-        out[i] = size[i] if uniform(mix64(~key[i : i + 1]))[0] * size[i] < out[i] else 0.0
+    sizes, now, keys = size[order].tolist(), mass[order].tolist(), key[order]
+    draws = uniform(mix64(keys)).tolist()
+    n, left = len(sizes), -1
+
+    def snapped(value: float, whole: float) -> float:
+        return 0.0 if value < 1e-9 * whole else whole if value > whole * (1 - 1e-9) else value
+
+    for i in range(n):
+        s, again = sizes[i], 0
+        while 0.0 < now[i] < s:
+            down = now[i]
+            up, need, partners = s - down, 1.0, []
+            for j in range(i + 1, n):
+                m, t = now[j], sizes[j]
+                if 0.0 < m < t:
+                    part = min(m / up, (t - m) / down, need)
+                    partners.append((j, part))
+                    need -= part
+                    if need <= 1e-12:
+                        need = 0.0
+                        break
+            if not partners:
+                left = i
+                break
+            draw = draws[i] if not again else float(uniform(mix64(keys[i : i + 1] ^ mix64(np.array([again], np.uint64))))[0])
+            again += 1
+            fills = draw * s < down
+            way = -up if fills else down
+            for j, part in partners:
+                now[j] = snapped(now[j] + part * way, sizes[j])
+            now[i] = (s if fills else 0.0) if not need else snapped(down - (1.0 - need) * way, s)
+    if left >= 0 and last:
+        now[left] = sizes[left] if uniform(mix64(~keys[left : left + 1]))[0] * sizes[left] < now[left] else 0.0
+    out[order] = now
     return out
 
 
@@ -114,7 +123,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     The order of rows doesn't matter, and the same table gives the same result.
     """
     spark = docs.sparkSession
-    units = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text_hash"), word_count(text_col).alias("size"))
+    units = docs.select(column(id_col).alias("doc_id"), column(source_col).alias("source"), F.xxhash64(column(text_col)).alias("text_hash"), word_count(column(text_col)).alias("size"))
     units = saved(units.groupBy("doc_id", "source", "text_hash", "size").agg(F.count(F.lit(1)).alias("rows")), "mix-units")
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count(F.lit(1)).alias("units"))
     shares = saved(targets(sizes.drop("units"), weights, share, most).join(sizes.select(F.col("source").alias("s"), "units"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-targets")
@@ -145,10 +154,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The documents as the mix takes them: each row as many times as its copies, all columns kept."""
-    plan = mix(docs, id_col, text_col, source_col, **how)
-    plan = plan.where(F.col("copies") > 0).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), F.col("copies").alias("__copies"))
-    rows = docs.withColumn("__key", F.xxhash64(text_col))
-    same = rows[id_col].eqNullSafe(F.col("__id")) & rows[source_col].eqNullSafe(F.col("__source")) & (F.col("__key") == F.col("__hash"))
-    taken = rows.join(plan.hint("shuffle_hash"), same)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[taken[c] for c in docs.columns])
+    """The documents as the mix takes them: each row as many times as its copies, all columns kept, whatever their names.
+
+    Null ids, texts and sources are allowed; rows that agree in all three are taken equally often, and an
+    empty table stays empty.
+    """
+    plan = mix(docs, id_col, text_col, source_col, **how).where(F.col("copies") > 0).select("doc_id", "source", "text_hash", "copies")
+    keys = {"doc_id": column(id_col), "source": column(source_col), "text_hash": F.xxhash64(column(text_col))}
+    taken, names = attached(docs, keys, plan, "inner")
+    times = F.explode(F.array_repeat(F.lit(True), column(names["copies"]).cast("int"))).alias(names["copies"])
+    return taken.select(*[column(c) for c in docs.columns], times).drop(names["copies"])
