@@ -62,9 +62,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spans of every document; n_secret and n_term count those that the method adds, n_spans all.  Repeated rows and null ids each have their row."""
     found = pii.find(table(spark, sf_dir, "documents"))
-    count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
-    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])], F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+    count = lambda spans, rank: F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
+    base = [count("base", i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])]
+    more = [count("spans", pii.SECRET).alias("n_secret"), count("spans", pii.TERM).alias("n_term"), F.size("spans").cast("long").alias("n_spans")]
+    return found.select("doc_id", *base, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"), *more)
 
 
 def queries() -> dict:
@@ -104,18 +107,20 @@ FROM ruled
 
 OP6_SQL = f"""
 WITH lines AS (
-  SELECT doc_id, coalesce('s' || source, 'null') AS site, unnest(string_split(text, chr(10))) AS line,
+  SELECT doc_id, md5(text) AS digest, coalesce('s' || source, 'null') AS site, unnest(string_split(text, chr(10))) AS line,
     generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
   FROM documents),
+placed AS (
+  SELECT *, {{'n': doc_id IS NOT NULL, 'd': coalesce(doc_id, 0), 't': digest, 'p': pos}} AS place FROM lines),
 counted AS (
-  SELECT line, min({{'d': doc_id, 'p': pos}}) AS first FROM lines
-  WHERE length(trim(line)) >= {linededup.MIN_CHARS} GROUP BY line HAVING count(DISTINCT site) >= {linededup.MIN_SITES}),
+  SELECT line, min(place) AS first FROM placed WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY line
+  HAVING count(DISTINCT site) >= CASE WHEN length(trim(line)) < {linededup.MIN_CHARS} THEN {linededup.SHORT_SITES} ELSE {linededup.MIN_SITES} END),
 kept AS (
-  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE c.line IS NULL OR c.first = {{'d': l.doc_id, 'p': l.pos}}) AS text,
-    count(*) FILTER (WHERE c.line IS NOT NULL AND c.first <> {{'d': l.doc_id, 'p': l.pos}}) AS removed
-  FROM lines l LEFT JOIN counted c ON l.line = c.line GROUP BY l.doc_id)
+  SELECT l.doc_id, l.digest, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE c.line IS NULL OR c.first = l.place) AS text,
+    count(*) FILTER (WHERE c.line IS NOT NULL AND c.first <> l.place) AS removed
+  FROM placed l LEFT JOIN counted c ON l.line = c.line GROUP BY l.doc_id, l.digest)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(k.removed, 0) AS removed
-FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+FROM documents d LEFT JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND md5(d.text) = k.digest
 """
 
 
