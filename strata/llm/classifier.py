@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality import _CLASS, _sigmoid
+from .quality import _CLASS, _sigmoid, every_fifth
+from .store import column
 from .textkit import mix64, ngrams, segment_hashes, slice_batches, spans, word_hashes
 
 ROWS, SHAPES, SIZE, NONZERO, WINDOW = 1 << 14, 1 << 10, 32, 4, 2
@@ -61,7 +62,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def contexts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Vectors of all rows of words and shapes, from the whole corpus; their size doesn't depend on it."""
+    """Vectors of all rows of words and shapes, from the whole corpus; their size doesn't depend on it.  Null and empty texts add nothing, repeated rows count each time, no text at all gives zeros."""
     total = ROWS + SHAPES
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +94,7 @@ def contexts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         return table.slice(0, 1).set_column(table.schema.get_field_index("sums"), "sums", pa.array([total.tobytes()], pa.binary()))
 
     schema = "block int, part int, sums binary"
-    texts = docs.select(F.col(text_col).alias("text"))
+    texts = docs.select(column(text_col).alias("text"))
     parts, many = texts.mapInArrow(gather, schema), texts.rdd.getNumPartitions()
     while many > 1:  # at most FAN_IN blocks come together in a task
         many = -(-many // FAN_IN)
@@ -158,11 +159,9 @@ class Network:
 
 
 def fit(x: np.ndarray, label: np.ndarray, epochs: int = 60, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> Network:
-    """Adam on the cross-entropy with four fifths of the rows; the temperature has the least cross-entropy on the others."""
+    """Adam on the cross-entropy with four fifths of the rows of each label; the temperature has the least cross-entropy on the others."""
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(x))
-    held = order[: len(x) // 5] if len(x) >= 50 else order
-    own = order[len(x) // 5 :] if len(x) >= 50 else order
+    own, held = (np.flatnonzero(x) for x in every_fifth(label, rng.permutation(len(x))))
     mean, scale = x[own].mean(0), x[own].std(0) + 1e-3
     z, y = np.clip((x - mean) / scale, -8, 8).astype(np.float64), label.astype(np.float64)
     p = [rng.normal(0, 1 / np.sqrt(z.shape[1]), (z.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
@@ -189,13 +188,17 @@ def fit(x: np.ndarray, label: np.ndarray, epochs: int = 60, rate: float = 0.01,
 
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that no model is fitted on: crc32 of the id as text is a multiple of 5."""
-    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    return F.coalesce(F.pmod(F.crc32(column(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Network | None:
-    """Fits the network on at most ``rows`` labelled documents that aren't held out; None without both labels."""
-    chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).orderBy(F.xxhash64("__id"), "__id", "__label").limit(rows)
-    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col(text_col).alias("text"), F.xxhash64("__id").alias("place"), "__label")
+    """Fits the network on at most ``rows`` labelled documents that aren't held out; None without both labels.
+
+    Labels other than 0 and 1 and null ids don't count, a null text is empty; repeated ids count each time.
+    """
+    chosen = labels.where(column(label_col).isin(0, 1) & column(id_col).isNotNull() & ~held_out(id_col)).select(column(id_col).alias("labelled"), column(label_col).cast("int").alias("label")).orderBy(F.xxhash64("labelled"), "labelled", "label").limit(rows)
+    texts = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
+    sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("labelled")).select("text", F.xxhash64("id").alias("place"), "label")
     shipped = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,5 +226,5 @@ def score(docs: DataFrame, net: Network | None, vectors: np.ndarray, id_col: str
                 p = own.probabilities(pooled(data, offsets, table)) if own else np.full(part.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p.astype(np.float64)), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), column(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")

@@ -20,8 +20,15 @@ _PLAIN = b"\t\n\r" + bytes(range(32, 127))
 #: The patterns of the two pre-tokenizers that are known here, over those characters.
 _BYTE_LEVEL = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _LOWER_WORDS = re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\s\w]|_)+")
+#: What its normalizer does beyond lower case: runs of blanks become one.
+_LOWER_FORM = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _LOWER_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+_LOWER_STEPS = [
+    {"type": "Split", "pattern": {"Regex": _LOWER_SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
 
 def _byte_letters() -> dict[int, str]:
     """The letters that byte-level models write bytes with: themselves if printable, else from U+0100 on in order."""
@@ -65,12 +72,11 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             made = json.load(file)
         before, form = made.get("pre_tokenizer") or {}, made.get("normalizer") or {}
-        steps = before.get("pretokenizers", [before])
         self.pattern, self.lower = None, False
         if made["model"]["type"] == "BPE" and not made["model"].get("ignore_merges"):
             if not form and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
                 self.pattern = _BYTE_LEVEL
-            elif [x.get("type") for x in form.get("normalizers", ())] == ["NFC", "Replace", "Lowercase"] and steps[0].get("pattern", {}).get("Regex") == _LOWER_SPLIT and steps[-1].get("type") == "ByteLevel":
+            elif form.get("normalizers") == _LOWER_FORM and before.get("pretokenizers") == _LOWER_STEPS:
                 self.pattern, self.lower = _LOWER_WORDS, True
         self.special = [x["content"] for x in made.get("added_tokens", ())]
         self.ids = _Ids(self.library)

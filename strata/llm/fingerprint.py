@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from .store import saved
+from .store import column, saved
 from .textkit import mix64, spans, word_hashes
 from .tokenfile import partitions
 
@@ -137,14 +138,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The next document is that of the next lower id, after the last the first; null ids come last, and
     rows of one id are ordered by their texts' hashes, equal rows standing side by side.  Null text is
-    empty.  A text without words has an all-zero fingerprint.  One document is its own next; an empty
+    empty.  Ids may be of any type that Spark orders.  A text without words has an all-zero fingerprint.  One document is its own next; an empty
     table gives no rows.
 
     The texts are dealt out once, by ranges of ids.  Only the first and last text of each range go on
     to meet their neighbours in other ranges.
     """
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = docs.select(column(id_col).alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     rows = rows.repartitionByRange(partitions(docs, 32 << 20), *order).sortWithinPartitions(*order)
     edge = f"doc_id {kind}, {COLUMNS}, role int, range int, text string"
@@ -154,7 +155,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         blank = {name: [None] * n for name in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
         return pa.RecordBatch.from_pydict(blank | rows | {"role": [role] * n, "range": [part] * n, "text": texts or [None] * n}, schema=schema)
 
-    fields = [("doc_id", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("role", pa.int32()), ("range", pa.int32()), ("text", pa.string())]
+    fields = [("doc_id", to_arrow_type(docs.schema[id_col].dataType)), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("role", pa.int32()), ("range", pa.int32()), ("text", pa.string())]
     schema = pa.schema(fields)
     final = pa.schema(fields[:7])
 

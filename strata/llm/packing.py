@@ -1,7 +1,7 @@
 """Packing documents into fixed-length sequences as a cutting-stock problem.
 
 A document's full blocks of the capacity are sequences by themselves; the remainders are the orders of
-a cutting-stock problem.  Their length histogram, in classes of a few tokens, is all that the driver
+a cutting-stock problem, the very short ones bundled.  Their length histogram, in classes of a few tokens, is all that the driver
 sees: a linear program over cutting patterns, whose columns a knapsack dynamic program prices; the
 rounded-down patterns and a first-fit packing of the few orders left are then laid over the documents
 by their rank within each class.
@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .encoding import encoder
-from .store import saved
+from .store import column, saved
 
 CAPACITY = 2048
 #: Tokens a length class spans: at most CAPACITY / GRID classes, whatever the corpus.
 GRID = 8
+#: Pieces below this share of the capacity would lose much to the classes: a partition's are bundled, up to that share, and a bundle is cut as one order.
+SMALL, BUNDLE = 32, 4
 #: The linear program ends this near its optimum.
 GAP = 5e-4
 
@@ -120,7 +122,8 @@ def plan(demand: np.ndarray, most_columns: int = 6000) -> list[tuple[np.ndarray,
 def pieces(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, grid: int = GRID, keep_ids: bool = False) -> DataFrame:
     """Encoded documents cut at multiples of the capacity: (doc_id, start, length, ids_crc32, doc_tokens, class, part, rank[, ids]).
 
-    ``rank`` counts the pieces of one class within their partition ``part``.
+    ``rank`` counts the orders of one class within their partition ``part``; an order is a piece, or a
+    bundle of small ones, whose pieces share their class and rank.
     """
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, class int, part int, rank long" + ", ids binary" * keep_ids
@@ -130,25 +133,49 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col: str
 
         part, encode = TaskContext.get().partitionId(), encoder(tokenizer, end_id)
         ranks = np.zeros(capacity // grid + 2, np.int64).tolist()
+        bundle: list[tuple] = []
+
+        def ranked(size: int) -> tuple[int, int]:
+            c = -(-size // grid)
+            ranks[c] += 1
+            return c, ranks[c] - 1
+
+        def closed() -> list[tuple]:
+            c, rank = ranked(sum(x[2] for x in bundle))
+            out = [(doc, start, length, crc, total, c, part, rank, *ids) for doc, start, length, crc, total, *ids in bundle]
+            bundle.clear()
+            return out
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64()] + [pa.binary()] * keep_ids
+            arrays = [pa.array(x, t) for x, t in zip(columns[1:], types, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], of), *arrays], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "part", "rank", *["ids"] * keep_ids])
+
+        of = None
         for batch in batches:
+            of = batch.schema.field(0).type
             for lo in range(0, batch.num_rows, 256):
                 own, rows = batch.slice(lo, 256), []
-                for i, text in enumerate(own.column(1).to_pylist()):
+                for doc, text in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True):
                     ids = encode.encode(text)
                     total = len(ids) // 4
                     for start in range(0, total, capacity):
                         length = min(capacity, total - start)
                         cut = ids[4 * start : 4 * (start + length)]
-                        c = -(-length // grid)
-                        rows.append((i, start, length, zlib.crc32(cut), total, c, part, ranks[c]) + (cut,) * keep_ids)
-                        ranks[c] += 1
+                        if length * SMALL < capacity:
+                            if bundle and (sum(x[2] for x in bundle) + length) * BUNDLE > capacity:
+                                rows += closed()
+                            bundle.append((doc, start, length, zlib.crc32(cut), total) + (cut,) * keep_ids)
+                        else:
+                            c, rank = ranked(length)
+                            rows.append((doc, start, length, zlib.crc32(cut), total, c, part, rank) + (cut,) * keep_ids)
                 if rows:
-                    columns = list(zip(*rows, strict=True))
-                    types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64()] + [pa.binary()] * keep_ids
-                    arrays = [pa.array(x, t) for x, t in zip(columns[1:], types, strict=True)]
-                    yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(columns[0])), *arrays], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "part", "rank", *["ids"] * keep_ids])
+                    yield made(rows)
+        if bundle:
+            yield made(closed())
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, grid: int = GRID, keep_ids: bool = False) -> DataFrame:
@@ -160,7 +187,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col: str =
     """
     spark = docs.sparkSession
     cut = saved(pieces(docs, tokenizer, end_id, id_col, text_col, capacity, grid, keep_ids), "pieces")
-    parts = saved(cut.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
+    parts = saved(cut.groupBy("class", "part").agg((F.max("rank") + 1).alias("n")), "piece-counts")
     units = capacity // grid
     demand = np.zeros(units + 1, np.int64)
     for c, n in parts.groupBy("class").agg(F.sum("n")).collect():  # a row a class: at most capacity / grid + 1

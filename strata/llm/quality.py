@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import column, fresh
 from .textkit import buffers, mix64, ngrams, segment_hashes, slice_batches, slices, spans, word_hashes
 
 #: Labelled documents that the model is fitted on, at most: the lowest hashes of the ids.
@@ -175,9 +176,23 @@ def platt(margin: np.ndarray, label: np.ndarray, steps: int = 100) -> tuple[floa
     return float(theta[0] / scale), float(theta[1])
 
 
-def fit(column: pa.Array, label: np.ndarray, steps: int = 150, rate: float = 0.5, decay: float = 1e-4) -> Model:
-    """Logistic regression by Adagrad with classes of equal weight, calibrated on every fifth row, which the weights don't see."""
-    data, offsets = buffers(column)
+def every_fifth(label: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to fit on and rows to calibrate on, at every size: each label's first, sixth, ... row in ``order`` is one of the latter.
+
+    A label with a single row has it on both sides, as neither does without.
+    """
+    held = np.zeros(len(label), bool)
+    alone = np.zeros(len(label), bool)
+    for kind in (0, 1):
+        own = order[label[order] == kind]
+        held[own[::5]] = True
+        alone[own[: len(own) == 1]] = True
+    return ~held | alone, held
+
+
+def fit(texts: pa.Array, label: np.ndarray, steps: int = 150, rate: float = 0.5, decay: float = 1e-4) -> Model:
+    """Logistic regression by Adagrad with classes of equal weight, calibrated on every fifth row of each label, which the weights don't see."""
+    data, offsets = buffers(texts)
     parts, n = [], len(label)
     for lo, hi in slices(offsets):
         i, d, v = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -186,9 +201,8 @@ def fit(column: pa.Array, label: np.ndarray, steps: int = 150, rate: float = 0.5
     index, doc, value = (np.concatenate(x) for x in zip(*parts, strict=True))
     value *= np.float32(30.0)  # one step size suits small relative frequencies
     del parts
-    held = np.arange(n) % 5 == 0 if n >= 50 else np.zeros(n, bool)
+    own, tune = every_fifth(label, np.arange(n))
     label = label.astype(np.float64)
-    own = ~held
     share = max(1.0, (label * own).sum()), max(1.0, ((1 - label) * own).sum())
     weight = own * np.where(label > 0, 0.5 / share[0], 0.5 / share[1])
     w, b, g2, b2 = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-8), 1e-8
@@ -201,16 +215,20 @@ def fit(column: pa.Array, label: np.ndarray, steps: int = 150, rate: float = 0.5
         b2 += error.sum() ** 2
         b -= rate * error.sum() / np.sqrt(b2)
     margin = np.bincount(doc, w[index] * value, minlength=n) + b
-    tune = held if held.any() and 0 < label[held].sum() < held.sum() else np.ones(n, bool)
     return Model((w * 30.0).astype(np.float64), b, *platt(margin[tune], label[tune]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model | None:
-    """Fits the model on at most ``rows`` labelled documents, the lowest hashes of their ids; None without both labels."""
-    chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).orderBy(F.xxhash64("__id"), "__id", "__label").limit(rows)
-    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))
-    table = sample.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), "__label").orderBy(F.xxhash64("id"), "id", "text").limit(rows).toArrow()
-    label = table.column("__label").to_numpy().astype(int)
+    """Fits the model on at most ``rows`` labelled documents, the lowest hashes of their ids; None without both labels.
+
+    Labels other than 0 and 1 and null ids don't count, a null text is empty.  Where labels or documents
+    repeat an id, all its pairs count, up to ``rows``.
+    """
+    chosen = labels.where(column(label_col).isin(0, 1) & column(id_col).isNotNull()).select(column(id_col).alias("labelled"), column(label_col).cast("int").alias("label")).orderBy(F.xxhash64("labelled"), "labelled", "label").limit(rows)
+    texts = docs.select(column(id_col).alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("labelled")).select("id", "text", "label")
+    table = sample.orderBy(F.xxhash64("id"), "id", "text", "label").limit(rows).toArrow()
+    label = table.column("label").to_numpy().astype(int)
     if len(set(label.tolist())) < 2:
         return None
     return fit(table.column("text"), label)
@@ -222,32 +240,34 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def judge(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Statistics and verdict of every document beside the columns ``keep`` (default: all).
 
-    Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability and kept;
+    Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and probability;
     of columns with these names in docs, the new ones stay.  Null and empty text has no words, fails the
-    base rule and has the model's bias as margin.  Without a model the base rule alone decides.
+    base rule and has the model's bias as margin.  Without a model the base rule alone decides.  Equal rows
+    have equal verdicts; an empty table gives no rows.
     """
-    added = [*COLUMNS, "base_failed", "probability", "kept"]
+    added = [*COLUMNS, "base_failed", "kept", "probability"]
     names = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    rows = docs.select(F.col(text_col).alias("__text"), *names)
+    (judged,) = fresh(docs, "judged")
+    rows = docs.select(column(text_col).alias(judged), *[column(c) for c in names])
     types = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in names] + [f"{c} long" for c in COLUMNS] + ["base_failed boolean, probability double, kept boolean"])
+    schema = ", ".join([f"`{c}` {types[c]}" for c in names] + [f"{c} long" for c in COLUMNS] + ["base_failed boolean, kept boolean, probability double"])
     shipped = docs.sparkSession.sparkContext.broadcast(model) if model else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value if shipped else None
         for batch in batches:
-            for part, data, offsets in slice_batches(batch, "__text"):
+            for part, data, offsets in slice_batches(batch, judged):
                 found = statistics(data, offsets)
                 n = found["n_words"]
                 failed = (n < FAILED_WORDS) | (100 * found["n_repeat_words"] > FAILED_REPEATS * n)
                 p = own.probabilities(data, offsets, found) if own else np.ones(len(n))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array(found[c]) for c in COLUMNS), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))], names=[*names, *added])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array(found[c]) for c in COLUMNS), pa.array(failed), pa.array(~failed & (p >= threshold)), pa.array(p)], names=[*names, *added])
 
     return rows.mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that ``judge`` keeps, with their own columns, whatever their names."""
+    """The documents that ``judge`` keeps, with their own columns, whatever their names; equal rows go or stay together, null texts go."""
     shipped = docs.sparkSession.sparkContext.broadcast(model) if model else None
     names = docs.columns
 

@@ -20,42 +20,51 @@ def tokenizer(name: str) -> str:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each row.  Rows equal in id, source and text have a row each with the same result; null text has size 0, a null source is the last source."""
     plan = mixing.mix(table(spark, sf_dir, "documents"))
     plan = plan.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "links", "keep")
+    """The class of every row; nulls, empty texts and repeated rows as in ``neardup.classes``."""
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "tree_links", "keep")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every row; null urls have an empty host and path and no rule."""
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every row in descending order of ids, null ids last, rows of one id by their texts; null text is empty."""
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a piece; null text has its end id alone, repeated rows are packed each by itself."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its text without boilerplate lines; null texts stay null, null sources are one site."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return linededup.deduplicated(docs, removed_col="removed").drop("source")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row as read back from the files, null ids last, null text as the end id alone; rows of one id are ordered by their texts."""
     return tokenfile.read(tokenfile.write(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every row; null and empty texts fail the base rule."""
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")), keep=("doc_id",))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every row; null and empty texts have the score of an all-zero input, a null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     vectors = classifier.contexts(docs)
     return classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels"), vectors), vectors)

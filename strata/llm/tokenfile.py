@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .eliasfano import EliasFano
 from .encoding import encoder
-from .store import folder, saved
+from .store import column, folder, saved
 
 _FOOT = struct.Struct("<8sIIQ")
 MAGIC = b"STRATOK1"
@@ -104,7 +104,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None = 2, id_col: str =
     """
     spark = docs.sparkSession
     to = to or folder(spark, "tokens")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
     order = [F.col("id").asc_nulls_last(), F.xxhash64("text")]
     rows = rows.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order)
 
