@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from .operators import feed, maintenance
 from .operators.write import columns_of, parse_partition_key, parse_sort_key, shaped, write
 from .sources.catalog import METADATA_TABLES, Catalog, Conflict, LakeError, changes_text
+from .sources.prune import Filter, deterministic, pushed
 from .sources.scan import located, scan
 from .sources.types import NEVER_INLINE, from_spark, to_spark, widens
 
@@ -313,15 +314,27 @@ class Lake:
             return self.cat.at_time(dt.datetime.fromisoformat(timestamp) if isinstance(timestamp, str) else timestamp)
         return self._at()
 
-    def table(self, name: str, version: int | None = None, timestamp: dt.datetime | str | None = None, filters: list[tuple[str, str, Any]] | None = None) -> DataFrame:
-        """The table now, at a version or at a time.  ``filters`` (column, operator, value) prune files and are applied to rows, too."""
-        prefix, _, plain = name.partition(".")
-        if prefix in self.attached:
-            return self.attached[prefix].table(plain, version, timestamp, filters)
+    def scanned(self, name: str, version: int | None = None, timestamp: dt.datetime | str | None = None, **how: Any) -> DataFrame:
+        """The scan of a table, or of one of an attached lake; ``how`` goes to it."""
         if name is None:
             raise LakeError("table name cannot be NULL")
+        prefix, _, plain = name.partition(".")
+        if prefix in self.attached:
+            return self.attached[prefix].scanned(plain, version, timestamp, **how)
+        at = self.snapshot_at(version, timestamp)
+        return scan(self.spark, self.cat, self.data_path, self._table(name, at), at, **how)
+
+    def files_of(self, name: str, version: int | None = None, timestamp: dt.datetime | str | None = None) -> int:
+        """How many data files the table has."""
+        prefix, _, plain = name.partition(".")
+        if prefix in self.attached:
+            return self.attached[prefix].files_of(plain, version, timestamp)
         at = self.snapshot_at(version, timestamp)
-        rows = scan(self.spark, self.cat, self.data_path, self._table(name, at), at, filters)
+        return self.cat.one("SELECT count(*) n FROM data_file WHERE table_id = ? AND begin_snapshot <= ? AND (end_snapshot IS NULL OR end_snapshot > ?)", self._table(name, at)["table_id"], at, at)["n"]
+
+    def table(self, name: str, version: int | None = None, timestamp: dt.datetime | str | None = None, filters: list[Filter] | None = None) -> DataFrame:
+        """The table now, at a version or at a time.  ``filters`` (column, operator, value) prune files and are applied to rows, too."""
+        rows = self.scanned(name, version, timestamp, filters=filters)
         for column, op, value in filters or ():
             c = F.col(f"`{column}`")
             rows = rows.where({"=": lambda: c == value, "<": lambda: c < value, "<=": lambda: c <= value, ">": lambda: c > value, ">=": lambda: c >= value, "in": lambda: c.isin(list(value))}[op]())  # noqa: B023
@@ -463,12 +476,27 @@ class Lake:
             return count
         return self.insert_values(name, list(zip(*arrays.values(), strict=True)), list(arrays))
 
-    def _matched(self, name: str, where: Column | str | None) -> tuple[dict, list[dict], DataFrame]:
-        table, at = self._table(name), self._at()
-        rows = scan(self.spark, self.cat, self.data_path, table, at, meta=True)
-        if where is not None:
-            rows = rows.where(where)
-        return table, self.cat.columns(table["table_id"], at), rows
+    def _found(self, name: str, build) -> DataFrame:
+        """What build(rows) makes of the table's rows with their places, reading only the files that may serve it."""
+        table, at, tag = self._table(name), self._at(), f"{self.id}-dml"
+        out = build(scan(self.spark, self.cat, self.data_path, table, at, meta=True, tag=tag))
+        if self.files_of(name) > 1 and all(alternatives := pushed(out).get(tag, [[]])):
+            out = build(scan(self.spark, self.cat, self.data_path, table, at, meta=True, tag=tag, alternatives=alternatives))
+        return out
+
+    @contextlib.contextmanager
+    def _settled(self, table: dict, rows: DataFrame) -> Iterator[DataFrame]:
+        """The rows, written down for as long as a statement reads them if every evaluation might give others."""
+        if deterministic(rows):
+            yield rows
+            return
+        where = located(self.data_path, f"{table['path'].rstrip('/')}/tmp-{uuid.uuid4().hex}")
+        rows.write.parquet(where)
+        try:
+            yield self.spark.read.schema(rows.schema).parquet(where)
+        finally:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
     def _delete_log(self, name: str, table: dict, places: DataFrame) -> tuple[list, int]:
         """Changes that delete the rows at ``places`` (_path, _pos), and how many they are."""
@@ -501,25 +529,34 @@ class Lake:
             log.append(("add_deletes", (name, deletes), {}))
         return log, len(inline) + sum(r.n for r in found)
 
-    def delete(self, name: str, where: Column | str | None = None) -> int:
+    def delete(self, name: str, where: Column | str | None = None, alias: str | None = None) -> int:
         """Deletes matching rows: their places go to delete files, files without a row left end.  Returns the number of rows."""
-        base = self.cat.latest()
-        table, _, rows = self._matched(name, where)
-        log, count = self._delete_log(name, table, rows.select("_path", "_pos"))
+        base, table = self.cat.latest(), self._table(name)
+        rows = self._found(name, lambda rows: self._where(rows, where, alias or name.rpartition(".")[2]).select("_path", "_pos"))
+        log, count = self._delete_log(name, table, rows)
         self._commit(log, None if self._open else base)
         return count
 
-    def update(self, name: str, assignments: dict[str, Column | str], where: Column | str | None = None) -> int:
+    def _where(self, rows: DataFrame, where: Column | str | None, alias: str) -> DataFrame:
+        from .plans.router import matching
+
+        if where is None:
+            return rows.alias(alias)
+        return matching(self, rows, alias, where) if isinstance(where, str) else rows.alias(alias).where(where)
+
+    def update(self, name: str, assignments: dict[str, Column | str], where: Column | str | None = None, alias: str | None = None) -> int:
         """Deletes matching rows and writes them changed, with their row ids, in one snapshot."""
-        base = self.cat.latest()
-        table, columns, rows = self._matched(name, where)
+        base, table = self.cat.latest(), self._table(name)
+        columns = self.cat.columns(table["table_id"], self._at())
         kinds = {c["column_name"]: to_spark(c["column_type"]) for c in columns}
         for c in assignments:
             if c not in kinds:
                 raise LakeError(f'column "{c}" of table "{name}" does not exist')
-        new = rows.select(*[(F.expr(v) if isinstance(v := assignments[c], str) else v).cast(kinds[c]).alias(c) if c in assignments else F.col(f"`{c}`") for c in kinds], "_row_id")
-        files = write(new, self.data_path, table, columns, self.cat.partition_keys(table["table_id"], self._at()), [], self._options(table["table_id"]), row_id=True)
-        log, count = self._delete_log(name, table, rows.select("_path", "_pos"))
+        new = [(F.expr(v) if isinstance(v := assignments[c], str) else v).cast(kinds[c]).alias(c) if c in assignments else F.col(f"`{c}`") for c in kinds]
+        made = self._found(name, lambda rows: self._where(rows, where, alias or name.rpartition(".")[2]).select(*new, "_row_id", "_path", "_pos"))
+        with self._settled(table, made) as rows:
+            files = write(rows.drop("_path", "_pos"), self.data_path, table, columns, self.cat.partition_keys(table["table_id"], self._at()), [], self._options(table["table_id"]), row_id=True)
+            log, count = self._delete_log(name, table, rows.select("_path", "_pos"))
         if files:
             log.append(("add_files", (name, files), {}))
         self._commit(log, None if self._open else base)
@@ -530,27 +567,61 @@ class Lake:
 
         ``on`` and the expressions name the table as t and the source as s.  A row that more than one source row matches is an error.
         """
-        base = self.cat.latest()
-        table, columns, rows = self._matched(name, None)
+        matched = [(None, None)] if delete else [(None, update)] if update else []
+        return self.merge_rows(name, source, on, matched, [(None, insert)] if insert else [], "t", "s")
+
+    def merge_rows(self, name: str, source: DataFrame, on: str, matched: list[tuple[str | None, dict[str, str] | None]], inserts: list[tuple[str | None, dict[str, str]]], target: str, other: str) -> dict[str, int]:
+        """MERGE with any names for its two sides.
+
+        ``matched`` has (condition, assignments), for a row that a source row matches; None as assignments
+        deletes it.  ``inserts`` has (condition, values) for source rows without a match.  The first clause whose
+        condition holds, or that has none, acts.  A row to be updated that more than one source row
+        matches is an error; one to be deleted goes once.
+        """
+        base, table = self.cat.latest(), self._table(name)
+        columns = self.cat.columns(table["table_id"], self._at())
         kinds = {c["column_name"]: to_spark(c["column_type"]) for c in columns}
-        joined = rows.alias("t").join(source.alias("s"), F.expr(on))
-        log, count, files = [], 0, []
-        if update or delete:
-            if not joined.groupBy("t._path", "t._pos").count().where("count > 1").isEmpty():
-                raise LakeError("a row matches more than one source row")
-            log, count = self._delete_log(name, table, joined.select("t._path", "t._pos"))
         options, keys = self._options(table["table_id"]), self.cat.partition_keys(table["table_id"], self._at())
-        if update and not delete:
-            new = joined.select(*[F.expr((update or {}).get(c, f"t.`{c}`")).cast(k).alias(c) for c, k in kinds.items()], F.col("t._row_id").alias("_row_id"))
-            files += write(new, self.data_path, table, columns, keys, [], options, row_id=True)
-        added: list[dict] = []
-        if insert:
-            missing = source.alias("s").join(rows.alias("t"), F.expr(on), "left_anti")
-            added = write(missing.select(*[F.expr(v).alias(c) for c, v in insert.items()]), self.data_path, table, columns, keys, [], options)
-        if files + added:
-            log.append(("add_files", (name, files + added), {}))
+        log: list = []
+        done = {"updated": 0, "deleted": 0, "inserted": 0}
+        files: list[dict] = []
+
+        def clause(conditions: list[str | None]) -> Column:
+            chosen = F
+            for i, c in enumerate(conditions):
+                chosen = chosen.when(F.expr(c) if c is not None else F.lit(True), F.lit(i))
+            return chosen
+
+        if matched:
+            picked = clause([c for c, _ in matched])
+
+            def value(c: str) -> Column:
+                out = F.lit(None)
+                for i, (_, sets) in reversed(list(enumerate(matched))):
+                    out = F.when(F.col("_clause") == i, F.expr((sets or {}).get(c, f"{target}.`{c}`")).cast(kinds[c])).otherwise(out)
+                return out.cast(kinds[c]).alias(c)
+
+            made = self._found(name, lambda rows: rows.alias(target).join(source.alias(other), F.expr(on)).withColumn("_clause", picked).where("_clause IS NOT NULL").select(*[value(c) for c in kinds], f"{target}._row_id", f"{target}._path", f"{target}._pos", "_clause"))
+            going = F.col("_clause").isin([i for i, (_, sets) in enumerate(matched) if sets is None])
+            with self._settled(table, made) as rows:
+                if any(sets is not None for _, sets in matched):
+                    if not rows.groupBy("_path", "_pos").agg(F.count(F.lit(1)).alias("n"), F.max(~going).alias("changed")).where("n > 1 AND changed").isEmpty():
+                        raise LakeError("a row matches more than one source row")
+                    files += write(rows.where(~going).drop("_path", "_pos", "_clause"), self.data_path, table, columns, keys, [], options, row_id=True)
+                log, count = self._delete_log(name, table, rows.select("_path", "_pos").distinct())
+            done["updated"] = sum(f["record_count"] for f in files)
+            done["deleted"] = count - done["updated"]
+        if inserts:
+            rows = scan(self.spark, self.cat, self.data_path, table, self._at(), meta=True)
+            missing = source.alias(other).join(rows.alias(target), F.expr(on), "left_anti").withColumn("_clause", clause([c for c, _ in inserts]))
+            for i, (_, values) in enumerate(inserts):
+                added = write(missing.where(F.col("_clause") == i).select(*[F.expr(v).alias(c) for c, v in values.items()]), self.data_path, table, columns, keys, [], options)
+                done["inserted"] += sum(f["record_count"] for f in added)
+                files += added
+        if files:
+            log.append(("add_files", (name, files), {}))
         self._commit(log, None if self._open else base)
-        return {"updated": 0 if delete else count, "deleted": count if delete else 0, "inserted": sum(f["record_count"] for f in added)}
+        return done
 
     # Maintenance.
 

@@ -30,9 +30,11 @@ def insertions(spark: SparkSession, cat: Catalog, data_path: str, table: dict, s
     names = [c["column_name"] for c in columns]
     files = cat.rows("SELECT * FROM data_file WHERE table_id = ? AND begin_snapshot BETWEEN ? AND ? AND silent = 0", table_id, start, end)
     parts = [_files(spark, files, columns, data_path, "begin_snapshot", True)] if files else []
-    for b in cat.rows("SELECT * FROM inlined_batch WHERE table_id = ? AND begin_snapshot BETWEEN ? AND ? AND silent = 0", table_id, start, end):
-        rows = inlined_rows(spark, cat, table_id, end, columns, [b], meta=True, dead=set())
-        parts.append(rows.withColumn("snapshot_id", F.lit(b["begin_snapshot"]).cast("long")))
+    batches = cat.rows("SELECT * FROM inlined_batch WHERE table_id = ? AND begin_snapshot BETWEEN ? AND ? AND silent = 0", table_id, start, end)
+    rows = inlined_rows(spark, cat, table_id, end, columns, batches, meta=True, dead=set())
+    if rows is not None:
+        when = spark.createDataFrame([(b["batch_uuid"], b["begin_snapshot"]) for b in batches], "p string, snapshot_id long")
+        parts.append(rows.join(when, F.col("_path") == F.col("p")).drop("p"))
     out = _union([p.select("snapshot_id", F.col("_row_id").alias("rowid"), *names) for p in parts])
     return out if out is not None else _none(spark, columns)
 
@@ -42,10 +44,11 @@ def deletions(spark: SparkSession, cat: Catalog, data_path: str, table: dict, st
     table_id, columns = table["table_id"], cat.columns(table["table_id"], end)
     names = [c["column_name"] for c in columns]
     parts = []
-    # Whole files: what was live in them just before.
-    for f in cat.rows("SELECT * FROM data_file WHERE table_id = ? AND end_snapshot BETWEEN ? AND ? AND end_silent = 0", table_id, start, end):
-        earlier = cat.rows("SELECT * FROM delete_file WHERE data_file_id = ? AND begin_snapshot < ?", f["data_file_id"], f["end_snapshot"])
-        rows = without_deleted(spark, _files(spark, [f], columns, data_path, "end_snapshot", False), earlier, data_path)
+    # Whole files: what was live in them just before, all in one scan.
+    ended = cat.rows("SELECT * FROM data_file WHERE table_id = ? AND end_snapshot BETWEEN ? AND ? AND end_silent = 0", table_id, start, end)
+    if ended:
+        earlier = cat.rows("SELECT d.* FROM delete_file d JOIN data_file f USING (data_file_id) WHERE f.table_id = ? AND f.end_snapshot BETWEEN ? AND ? AND f.end_silent = 0 AND d.begin_snapshot < f.end_snapshot", table_id, start, end)
+        rows = without_deleted(spark, _files(spark, ended, columns, data_path, "end_snapshot", False), earlier, data_path)
         parts.append(rows.select("snapshot_id", F.col("_row_id").alias("rowid"), *names))
     # Places in files.
     deletes = cat.rows("SELECT d.path, d.begin_snapshot, d.data_file_id FROM delete_file d WHERE d.table_id = ? AND d.begin_snapshot BETWEEN ? AND ?", table_id, start, end)
@@ -60,12 +63,11 @@ def deletions(spark: SparkSession, cat: Catalog, data_path: str, table: dict, st
         gone = gone.join(when, (F.col("f") == F.col("df")) & (F.col("data_path") == F.col("dp"))).select("data_path", "pos", "snapshot_id")
         parts.append(rows.join(gone, (F.col("_path") == F.col("data_path")) & (F.col("_pos") == F.col("pos"))).select("snapshot_id", F.col("_row_id").alias("rowid"), *names))
     dead = cat.rows("SELECT * FROM inlined_delete WHERE table_id = ? AND begin_snapshot BETWEEN ? AND ?", table_id, start, end)
-    for b in cat.rows("SELECT * FROM inlined_batch WHERE table_id = ?", table_id):
-        own = [(d["place"], d["begin_snapshot"]) for d in dead if d["batch_uuid"] == b["batch_uuid"]]
-        if own:
-            rows = inlined_rows(spark, cat, table_id, end, columns, [b], meta=True, dead=set())
-            when = spark.createDataFrame(own, "place long, snapshot_id long")
-            parts.append(rows.join(when, F.col("_pos") == F.col("place")).select("snapshot_id", F.col("_row_id").alias("rowid"), *names))
+    own = {d["batch_uuid"] for d in dead}
+    rows = inlined_rows(spark, cat, table_id, end, columns, [b for b in cat.rows("SELECT * FROM inlined_batch WHERE table_id = ?", table_id) if b["batch_uuid"] in own], meta=True, dead=set())
+    if rows is not None:
+        when = spark.createDataFrame([(d["batch_uuid"], d["place"], d["begin_snapshot"]) for d in dead], "batch string, place long, snapshot_id long")
+        parts.append(rows.join(when, (F.col("_path") == F.col("batch")) & (F.col("_pos") == F.col("place"))).select("snapshot_id", F.col("_row_id").alias("rowid"), *names))
     out = _union(parts)
     return out if out is not None else _none(spark, columns)
 

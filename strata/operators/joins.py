@@ -8,18 +8,29 @@ from pyspark.sql.window import Window
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, columns: list[str], slices: Column | None = None) -> DataFrame:
-    """Each left row with the columns of the last right row of its keys at or before its time.
+    """Each left row with the columns of the last right row of its keys at or before its time; nulls where there is none.
 
     Both sides go into one window by key and time and the right side's row is carried forward: one shuffle,
-    no range join.  ``slices`` (say, a day) is added to the window's partition for keys with very many
-    rows; right rows then only reach left rows of their own slice.
+    no range join.  ``slices``, an expression of the time ``_t`` that never falls as time rises (say, its
+    day), splits keys with very many rows: each slice is a window of its own, and a small table
+    of the last right row before each slice serves those left rows that their slice has none for.
     """
-    a = left.select(*by, F.col(left_on).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*columns)).schema[0].dataType).alias("_r"))
-    b = right.select(*by, F.col(right_on).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_l"), F.struct(*columns).alias("_r"))
-    both = a.unionByName(b)
-    keys = [*by] + ([slices.alias("_slice")] if slices is not None else [])
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    held = right.select(F.struct(*columns)).schema[0].dataType
+    whole = left.select(F.struct(*left.columns)).schema[0].dataType
+    a = left.select(*by, F.col(left_on).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(held).alias("_r"))
+    b = right.where(F.col(right_on).isNotNull()).select(*by, F.col(right_on).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(whole).alias("_l"), F.struct(*columns).alias("_r"))
+    both = a.unionByName(b).withColumn("_slice", slices if slices is not None else F.lit(0))
+    w = Window.partitionBy(*by, "_slice").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     carried = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    if slices is not None:
+        last = F.max(F.when(F.col("_side") == 0, F.struct("_t", "_r")))["_r"]
+        before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = both.groupBy(*by, "_slice").agg(last.alias("_last")).withColumn("_earlier", F.last("_last", ignorenulls=True).over(before))
+        earlier = earlier.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_slice").alias("_of"), "_earlier")
+        same = F.col("_slice").eqNullSafe(F.col("_of"))
+        for i, c in enumerate(by):
+            same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+        carried = carried.join(earlier, same, "left").withColumn("_r", F.when(F.col("_t").isNotNull(), F.coalesce("_r", "_earlier")))
     return carried.select("_l.*", *[F.col(f"_r.{c}").alias(c) for c in columns])
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import uuid
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scan import encode, located
@@ -101,17 +104,17 @@ def footers(df: DataFrame, data_path: str, paths: list[str], ids: dict[str, int]
     if len(paths) <= DRIVER_FOOTERS:
         return [_footer(data_path, p, ids) for p in paths]
     spark = df.sparkSession
+    kind = pa.schema([("path", pa.string()), ("record_count", pa.int64()), ("file_size_bytes", pa.int64()), ("stats", pa.list_(pa.struct([("column", pa.int64()), ("rows", pa.int64()), ("nulls", pa.int64()), ("low", pa.string()), ("high", pa.string())])))])
+    names = [f.name for f in kind.field("stats").type.value_type]
 
-    def run(rows):
-        import pandas as pd
-
-        for pdf in rows:
-            yield pd.DataFrame({"found": [repr(_footer(data_path, p, ids)) for p in pdf["path"]]})
-
-    import ast
+    def run(batches):
+        for batch in batches:
+            found = [_footer(data_path, p, ids) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pylist([f | {"stats": [dict(zip(names, x, strict=True)) for x in f["stats"]]} for f in found], schema=kind)
 
     spread = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(2, len(paths) // DRIVER_FOOTERS))
-    return [ast.literal_eval(r.found) for r in spread.mapInPandas(run, "found string").collect()]
+    made = spread.mapInArrow(run, "path string, record_count long, file_size_bytes long, stats array<struct<column:long,rows:long,nulls:long,low:string,high:string>>").collect()
+    return [{"path": r.path, "record_count": r.record_count, "file_size_bytes": r.file_size_bytes, "stats": [tuple(x) for x in r.stats]} for r in made]
 
 
 def listed(df: DataFrame, data_path: str, folder: str) -> list[str]:
@@ -122,11 +125,26 @@ def listed(df: DataFrame, data_path: str, folder: str) -> list[str]:
     return sorted(folder + f.path[len(name) :] for f in found if f.is_file and f.base_name.endswith(".parquet"))
 
 
+@contextlib.contextmanager
+def _advised(spark: SparkSession, options: dict) -> Iterator[None]:
+    """Adaptive execution aims at the target file size, if the options give one."""
+    key, size = "spark.sql.adaptive.advisoryPartitionSizeInBytes", options.get("target_file_size")
+    before = spark.conf.get(key, None)
+    if size:
+        spark.conf.set(key, str(int(size)))
+    try:
+        yield
+    finally:
+        if size:
+            spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def write(df: DataFrame, data_path: str, table: dict, columns: list[dict], partition: list[dict], sort: list[dict], options: dict, row_id: bool = False) -> list[dict]:
     """Writes df as new data files of the table, not yet part of any snapshot, and returns their descriptions.
 
     With partition keys each file holds one tuple of values: Spark deals the rows out by the keys' folders,
-    which are only a layout; the values go to the catalog as text.
+    which are only a layout; the values go to the catalog as text.  Adaptive execution splits the rows of
+    one tuple over as many tasks, and so files, as the target size asks for, and puts small ones together.
     """
     folder = f"{table['path'].rstrip('/')}/{uuid.uuid4().hex}"
     out = shaped(df, columns, row_id)
@@ -136,7 +154,7 @@ def write(df: DataFrame, data_path: str, table: dict, columns: list[dict], parti
         out = out.withColumn(f"_p{i}", F.coalesce(partition_column(k["column_name"], k["transform"]).cast("string"), F.lit("\0")))
         out = out.withColumn(f"_p{i}", F.concat(F.lit("v"), F.hex(F.encode(f"_p{i}", "utf-8"))))
     if keys:
-        out = out.repartition(*keys)
+        out = out.hint("rebalance", *[F.col(k) for k in keys])
     elif options.get("per_thread_output") == "false":
         out = out.coalesce(1)
     if sort or keys:
@@ -154,7 +172,8 @@ def write(df: DataFrame, data_path: str, table: dict, columns: list[dict], parti
         writer = writer.option("maxRecordsPerFile", options["max_records_per_file"])
     if keys:
         writer = writer.partitionBy(*keys)
-    writer.parquet(located(data_path, folder))
+    with _advised(df.sparkSession, options if keys else {}):
+        writer.parquet(located(data_path, folder))
     ids = {c["column_name"]: c["column_id"] for c in columns}
     files = [f for f in footers(df, data_path, listed(df, data_path, folder), ids) if f["record_count"]]
     for f in files:

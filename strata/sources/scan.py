@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+from decimal import Decimal
 from typing import Any
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .catalog import Catalog
+from .prune import TAG, Filter
 from .types import ROW_ID, read_schema, to_spark
 
 def located(data_path: str, path: str) -> str:
@@ -43,9 +45,11 @@ def encode(value: Any) -> str | None:
 
 
 def _decode(text: str, kind: str) -> Any:
-    if kind.startswith(("int", "uint")):
+    if kind.startswith(("int", "uint")) and kind != "interval":
         return int(text)
-    if kind.startswith(("float", "decimal")):
+    if kind.startswith("decimal"):
+        return Decimal(text)
+    if kind.startswith("float"):
         return float(text)
     return text
 
@@ -106,11 +110,12 @@ def pruned(cat: Catalog, table_id: int, at: int, files: list[dict], filters: lis
     return files
 
 
-def read_files(spark: SparkSession, files: list[dict], columns: list[dict], data_path: str, meta: bool) -> DataFrame:
-    """Rows of data files in one vectorised scan; ``meta`` adds _path, _pos and _row_id."""
+def read_files(spark: SparkSession, files: list[dict], columns: list[dict], data_path: str, meta: bool, tag: str | None = None) -> DataFrame:
+    """Rows of data files in one vectorised scan; ``meta`` adds _path, _pos and _row_id, ``tag`` names the scan."""
     schema = read_schema(columns, row_id=meta)
     names = [c["column_name"] for c in columns]
-    rows = spark.read.option("mergeSchema", "false").schema(schema).parquet(*[located(data_path, f["path"]) for f in files])
+    reader = spark.read.option("mergeSchema", "false")
+    rows = (reader.option(TAG, tag) if tag else reader).schema(schema).parquet(*[located(data_path, f["path"]) for f in files])
     if not meta:
         return rows.select(*names)
     rows = rows.select(*names, ROW_ID, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_pos"))
@@ -127,20 +132,30 @@ def inlined_table(batch: dict) -> pa.Table:
 
 
 def inlined_rows(spark: SparkSession, cat: Catalog, table_id: int, at: int, columns: list[dict], batches: list[dict], meta: bool, dead: set | None = None) -> DataFrame | None:
-    """Rows of inlined batches with the columns of the snapshot, without those deleted by then."""
+    """Rows of inlined batches with the columns of the snapshot, without those deleted by then.
+
+    Batches of one layout become one table before Spark sees them, so the plan has a branch for each
+    layout that the table has had, however many batches there are.
+    """
     if not batches:
         return None
     if dead is None:
         dead = {(d["batch_uuid"], d["place"]) for d in cat.rows("SELECT * FROM inlined_delete WHERE table_id = ? AND begin_snapshot <= ?", table_id, at)}
-    out = None
+    layouts: dict[tuple, list[pa.Table]] = {}
     for b in batches:
         held = inlined_table(b)
         ids = pa.ipc.open_file(io.BytesIO(b["row_ids"])).read_all().column(0).to_pylist() if b["row_ids"] else range(b["row_id_start"], b["row_id_start"] + b["record_count"])
         keep = [i for i in range(b["record_count"]) if (b["batch_uuid"], i) not in dead]
         if not keep:
             continue
-        held = held.take(pa.array(keep)).append_column("_path", pa.array([b["batch_uuid"]] * len(keep))).append_column("_pos", pa.array(keep, pa.int64())).append_column("_row_id", pa.array([ids[i] for i in keep], pa.int64()))
-        frame = spark.createDataFrame(held)
+        if len(keep) < b["record_count"]:
+            held, ids = held.take(pa.array(keep)), [ids[i] for i in keep]
+        held = held.append_column("_path", pa.array([b["batch_uuid"]] * len(keep))).append_column("_pos", pa.array(keep, pa.int64())).append_column("_row_id", pa.array(ids, pa.int64()))
+        held = pa.Table.from_arrays(held.columns, schema=pa.schema([pa.field(f.name, f.type) for f in held.schema]))
+        layouts.setdefault(tuple((f.name, str(f.type)) for f in held.schema), []).append(held)
+    out = None
+    for tables in layouts.values():
+        frame = spark.createDataFrame(pa.concat_tables(tables))
         picked = []
         for c in columns:
             kind = to_spark(c["column_type"])
@@ -170,13 +185,21 @@ def without_deleted(spark: SparkSession, rows: DataFrame, deletes: list[dict], d
     return rows.join(gone, (F.col("_path") == F.col("data_path")) & (F.col("_pos") == F.col("pos")), "left_anti")
 
 
-def scan(spark: SparkSession, cat: Catalog, data_path: str, table: dict, at: int, filters: list[tuple[str, str, Any]] | None = None, meta: bool = False) -> DataFrame:
-    """The table at a snapshot.  ``filters`` only prune files; the caller applies them to rows."""
+def chosen(cat: Catalog, table_id: int, at: int, alternatives: list[list[Filter]]) -> list[dict]:
+    """The live files that may hold rows for all filters of one of the alternatives."""
+    files = cat.live("data_file", table_id, at)
+    keep = {f["data_file_id"] for filters in alternatives for f in (pruned(cat, table_id, at, files, filters) if filters else files)}
+    return [f for f in files if f["data_file_id"] in keep]
+
+
+def scan(spark: SparkSession, cat: Catalog, data_path: str, table: dict, at: int, filters: list[Filter] | None = None, meta: bool = False, tag: str | None = None, alternatives: list[list[Filter]] | None = None) -> DataFrame:
+    """The table at a snapshot.  ``filters`` only prune files; the caller applies them to rows.
+
+    ``alternatives`` are several such lists, of which a file must pass one.
+    """
     table_id = table["table_id"]
     columns = cat.columns(table_id, at)
-    files = cat.live("data_file", table_id, at)
-    if filters:
-        files = pruned(cat, table_id, at, files, filters)
+    files = chosen(cat, table_id, at, alternatives or [filters or []])
     deletes = cat.live("delete_file", table_id, at)
     touched = {d["data_file_id"] for d in deletes}
     clean = [f for f in files if f["data_file_id"] not in touched]
@@ -184,10 +207,10 @@ def scan(spark: SparkSession, cat: Catalog, data_path: str, table: dict, at: int
     names = [c["column_name"] for c in columns] + (["_path", "_pos", "_row_id"] if meta else [])
     parts = []
     if clean:
-        parts.append(read_files(spark, clean, columns, data_path, meta))
+        parts.append(read_files(spark, clean, columns, data_path, meta, tag))
     if dirty:
         own = {f["data_file_id"] for f in dirty}
-        rows = read_files(spark, dirty, columns, data_path, True)
+        rows = read_files(spark, dirty, columns, data_path, True, tag)
         parts.append(without_deleted(spark, rows, [d for d in deletes if d["data_file_id"] in own], data_path).select(*names))
     inlined = inlined_rows(spark, cat, table_id, at, columns, cat.live("inlined_batch", table_id, at), meta)
     if inlined is not None:
