@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyarrow import fs
-
 from ..sources.catalog import LakeError, now
-from ..sources.scan import inlined_rows, located, read_files, without_deleted
+from ..sources.scan import filesystem, inlined_rows, located, read_files, without_deleted
 from .write import sort_columns, write
 
 
@@ -132,7 +130,7 @@ def cleanup(lake, older_than: dt.timedelta | None = None) -> list[str]:
     for r in due:
         if r["path"] not in still:
             where = located(lake.data_path, r["path"])
-            files, path = fs.FileSystem.from_uri(where if ":/" in where else f"file://{where}")
+            files, path = filesystem(where)
             if files.get_file_info(path).is_file:
                 files.delete_file(path)
             out.append(r["path"])

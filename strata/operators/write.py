@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scan import encode, located
+from ..sources.scan import encode, filesystem, located
 from ..sources.types import ROW_ID, ROW_ID_FIELD, from_spark, to_spark
 
 TRANSFORMS = {"identity": lambda c: c, "year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour}
@@ -71,7 +71,7 @@ def shaped(df: DataFrame, columns: list[dict], row_id: bool = False) -> DataFram
 
 def _footer(data_path: str, path: str, ids: dict[str, int]) -> dict:
     where = located(data_path, path)
-    files, name = fs.FileSystem.from_uri(where if ":/" in where else f"file://{where}")
+    files, name = filesystem(where)
     with files.open_input_file(name) as file:
         size, meta = file.size(), pq.ParquetFile(file).metadata
     found: dict[str, list[Any]] = {}
@@ -120,7 +120,7 @@ def footers(df: DataFrame, data_path: str, paths: list[str], ids: dict[str, int]
 def listed(df: DataFrame, data_path: str, folder: str) -> list[str]:
     """Data files below a folder, with paths as the catalog has them."""
     where = located(data_path, folder)
-    files, name = fs.FileSystem.from_uri(where if ":/" in where else f"file://{where}")
+    files, name = filesystem(where)
     found = files.get_file_info(fs.FileSelector(name, recursive=True, allow_not_found=True))
     return sorted(folder + f.path[len(name) :] for f in found if f.is_file and f.base_name.endswith(".parquet"))
 

@@ -12,6 +12,7 @@ from decimal import Decimal
 from typing import Any
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,12 @@ from .catalog import Catalog
 from .prune import TAG, Filter
 from .types import ROW_ID, read_schema, to_spark
 
+
+def filesystem(where: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(where) if ":/" in where else (fs.LocalFileSystem(), where)
+
+
 def located(data_path: str, path: str) -> str:
     """Where a file of the catalog lies: below the data path, unless its own path is absolute."""
     return path if path.startswith("/") or ":/" in path else f"{data_path}/{path}"
@@ -110,6 +117,26 @@ def pruned(cat: Catalog, table_id: int, at: int, files: list[dict], filters: lis
     return files
 
 
+_roots: dict[str, str] = {}
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A folder as Spark's scans name it."""
+    if path not in _roots:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        full = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(at).toUri().toString()
+        _roots[path] = full.replace(":///", ":/", 1)  # a scheme without a host has one slash there
+    return _roots[path]
+
+
+def _seen(spark: SparkSession, data_path: str, path: str) -> str:
+    """A data file as Spark's scans name it."""
+    if located("", path) == path:
+        folder, _, name = path.rpartition("/")
+        return f"{_qualified(spark, folder)}/{name}"
+    return f"{_qualified(spark, data_path)}/{path}"
+
+
 def read_files(spark: SparkSession, files: list[dict], columns: list[dict], data_path: str, meta: bool, tag: str | None = None) -> DataFrame:
     """Rows of data files in one vectorised scan; ``meta`` adds _path, _pos and _row_id, ``tag`` names the scan."""
     schema = read_schema(columns, row_id=meta)
@@ -118,8 +145,8 @@ def read_files(spark: SparkSession, files: list[dict], columns: list[dict], data
     rows = (reader.option(TAG, tag) if tag else reader).schema(schema).parquet(*[located(data_path, f["path"]) for f in files])
     if not meta:
         return rows.select(*names)
-    rows = rows.select(*names, ROW_ID, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_pos"))
-    starts = [(f["path"].rsplit("/", 1)[-1], f["path"], f["row_id_start"]) for f in files]
+    rows = rows.select(*names, ROW_ID, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_pos"))
+    starts = [(_seen(spark, data_path, f["path"]), f["path"], f["row_id_start"]) for f in files]
     if len(starts) == 1:
         _, path, start = starts[0]
         return rows.select(*names, F.lit(path).alias("_path"), "_pos", F.coalesce(ROW_ID, F.lit(start).cast("long") + F.col("_pos")).alias("_row_id"))
