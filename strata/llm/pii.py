@@ -171,7 +171,9 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, min_contexts: int = MIN_
     right = F.slice(_nearest(F.substring(text, end + 1, F.lit(200)), F.length(text) - end <= 200, F.substring(text, end + 1, F.length(text))), 1, CONTEXT)
     around = around.select("doc_id", "text_hash", _entities_of(F.col("s")).alias("entities"), F.concat(left, right).alias("terms"))
     around = around.select(_document().alias("document"), F.explode("entities").alias("entity"), F.xxhash64("terms").alias("context"), "terms")
+    # Saved, as are the tables joined below, so that a very frequent entity or term is dealt over several tasks.
     needed = around.groupBy("entity").agg(F.least(F.lit(min_contexts), F.greatest(F.lit(2), F.count_distinct("context"))).alias("needed"), F.count_distinct("document").alias("with_entity"))
+    needed = saved(needed, "pii-entities")
     around = around.select("document", "entity", "context", F.explode(F.array_distinct("terms")).alias("term"))
     pairs = around.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("document").alias("shared"))
     pairs = saved(pairs.join(needed, "entity").where("contexts >= needed").drop("needed"), "pii-pairs")
