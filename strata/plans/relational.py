@@ -73,6 +73,8 @@ SQL: dict[str, tuple[str, str | None]] = {
         FULL OUTER JOIN (SELECT c_custkey % 70 + 20 AS k FROM customer GROUP BY 1) b ON a.k = b.k""", None),
     "rel_cross_join": ("SELECT r_name, n_name FROM region CROSS JOIN nation", None),
     "rel_theta_join": ("SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", None),
+    "rel_range_join": ("SELECT n_name, r_name FROM nation JOIN region ON n_nationkey BETWEEN r_regionkey * 4 AND r_regionkey * 4 + 6 AND n_name > r_name", None),
+    "rel_nested_loop_left": ("SELECT r_name, n_name FROM region LEFT JOIN nation ON r_regionkey > n_nationkey + 1 AND n_name <> r_name", None),
     "rel_lateral": (
         "SELECT r_name, n.n_name FROM region r, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r.r_regionkey) n", None),
     "rel_agg_suite": ("""
@@ -96,11 +98,31 @@ SQL: dict[str, tuple[str, str | None]] = {
         "SELECT r_name, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names, array_join(sort_array(collect_list(n_name)), '|') AS listed FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name",
         "SELECT r_name, string_agg(n_name, ',' ORDER BY n_name) AS names, array_to_string(list_sort(list(n_name)), '|') AS listed FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name"),
     "rel_mode_first": (
-        "SELECT n, count(*) AS k FROM (SELECT o_custkey, min(o_orderkey) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 5) GROUP BY n", None),
+        "SELECT n_regionkey, mode(k, true) AS most, first(n_name) AS one, any_value(n_regionkey) AS any_key FROM (SELECT n_regionkey, min(n_name) OVER (PARTITION BY n_regionkey) AS n_name, length(n_name) AS k FROM nation) GROUP BY n_regionkey",
+        "SELECT n_regionkey, (SELECT k FROM (SELECT length(n_name) AS k, count(*) AS c FROM nation m WHERE m.n_regionkey = n.n_regionkey GROUP BY 1) ORDER BY c DESC, k LIMIT 1) AS most, first(n_name) AS one, any_value(n_regionkey) AS any_key FROM (SELECT n_regionkey, min(n_name) OVER (PARTITION BY n_regionkey) AS n_name FROM nation) n GROUP BY n_regionkey"),
     "rel_approx": ("""
-        SELECT abs(approx_count_distinct(o_custkey) - count(DISTINCT o_custkey)) <= 0.1 * count(DISTINCT o_custkey) AS distinct_ok,
+        SELECT round(approx_count_distinct(o_orderstatus), 0) AS statuses, round(approx_percentile(o_totalprice, 0.5, 100000) / median(o_totalprice), 2) AS middle,
+          count(DISTINCT o_custkey) AS customers, abs(approx_count_distinct(o_custkey) - count(DISTINCT o_custkey)) <= 0.1 * count(DISTINCT o_custkey) AS distinct_ok,
           abs(approx_percentile(o_totalprice, 0.5) - median(o_totalprice)) <= 0.05 * median(o_totalprice) AS median_ok FROM orders""",
-        "SELECT true AS distinct_ok, true AS median_ok"),
+        "SELECT count(DISTINCT o_orderstatus) AS statuses, CAST(1 AS DOUBLE) AS middle, count(DISTINCT o_custkey) AS customers, true AS distinct_ok, true AS median_ok FROM orders"),
+    "rel_agg_more": ("""
+        SELECT o_orderstatus, any_value(o_orderstatus) AS av, round(covar_samp(o_totalprice, CAST(o_custkey AS double)) / 1e3, 3) AS cs, round(regr_intercept(o_totalprice, CAST(o_custkey AS double)), 2) AS ri,
+          round(regr_r2(o_totalprice, CAST(o_custkey AS double)), 8) AS r2, regr_count(o_totalprice, CAST(o_custkey AS double)) AS rc, round(regr_avgx(o_totalprice, CAST(o_custkey AS double)), 4) AS rax,
+          round(regr_avgy(o_totalprice, CAST(o_custkey AS double)), 4) AS ray, round(regr_sxx(o_totalprice, CAST(o_custkey AS double)) / 1e3, 2) AS rsx, round(regr_syy(o_totalprice, CAST(o_custkey AS double)) / 1e9, 2) AS rsy,
+          round(var_pop(o_totalprice) / 1e6, 4) AS vp, percentile_disc(0.5) WITHIN GROUP (ORDER BY o_totalprice) AS pd, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY o_totalprice), 4) AS pc,
+          array_join(sort_array(collect_set(o_orderpriority)), ',') AS ps, size(collect_list(o_orderkey)) + 0L AS nl, max(o_orderdate) AS md, min(o_orderpriority) AS mp,
+          round(exp(avg(ln(o_totalprice))), 2) AS gm, sum(DISTINCT o_custkey) AS sd, round(try_avg(o_totalprice), 4) AS ta, try_sum(o_custkey) AS ts, every(o_custkey > 0) AS ev, some(o_custkey > 100) AS so
+        FROM orders GROUP BY o_orderstatus""", """
+        SELECT o_orderstatus, any_value(o_orderstatus) AS av, round(covar_samp(o_totalprice, CAST(o_custkey AS double)) / 1e3, 3) AS cs, round(regr_intercept(o_totalprice, CAST(o_custkey AS double)), 2) AS ri,
+          round(regr_r2(o_totalprice, CAST(o_custkey AS double)), 8) AS r2, CAST(regr_count(o_totalprice, CAST(o_custkey AS double)) AS BIGINT) AS rc, round(regr_avgx(o_totalprice, CAST(o_custkey AS double)), 4) AS rax,
+          round(regr_avgy(o_totalprice, CAST(o_custkey AS double)), 4) AS ray, round(regr_sxx(o_totalprice, CAST(o_custkey AS double)) / 1e3, 2) AS rsx, round(regr_syy(o_totalprice, CAST(o_custkey AS double)) / 1e9, 2) AS rsy,
+          round(var_pop(o_totalprice) / 1e6, 4) AS vp, quantile_disc(o_totalprice, 0.5) AS pd, round(quantile_cont(o_totalprice, 0.9), 4) AS pc,
+          array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS ps, len(list(o_orderkey)) AS nl, max(o_orderdate) AS md, min(o_orderpriority) AS mp,
+          round(geomean(o_totalprice), 2) AS gm, CAST(sum(DISTINCT o_custkey) AS BIGINT) AS sd, round(avg(o_totalprice), 4) AS ta, CAST(sum(o_custkey) AS BIGINT) AS ts, bool_and(o_custkey > 0) AS ev, bool_or(o_custkey > 100) AS so
+        FROM orders GROUP BY o_orderstatus"""),
+    "rel_agg_null_handling": (
+        "SELECT count(x) AS c, sum(x) AS s, avg(x) AS a, max(x) AS m, count_if(x IS NULL) AS n, count(DISTINCT x) AS d, coalesce(sum(CASE WHEN x > 99 THEN x END), -1) AS none FROM (SELECT CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_nationkey END AS x FROM nation)",
+        "SELECT count(x) AS c, CAST(sum(x) AS BIGINT) AS s, avg(x) AS a, max(x) AS m, CAST(count_if(x IS NULL) AS BIGINT) AS n, count(DISTINCT x) AS d, CAST(coalesce(sum(CASE WHEN x > 99 THEN x END), -1) AS BIGINT) AS none FROM (SELECT CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_nationkey END AS x FROM nation)"),
     "rel_cube": ("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)", None),
     "rel_rollup_having": ("SELECT l_returnflag, l_linenumber, CAST(grouping(l_linenumber) AS INT) AS g, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linenumber) HAVING count(*) > 100", None),
     "rel_grouping_sets": ("SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS s FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", None),
@@ -192,6 +214,54 @@ SQL: dict[str, tuple[str, str | None]] = {
         SELECT l_orderkey, l_linenumber, coalesce(nullif(l_returnflag, 'N'), 'none') AS c, if(l_quantity > 25, 'hi', 'lo') AS i, try_cast(l_returnflag AS INT) AS tc, CAST(round(l_quantity) AS INT) AS ci,
           CAST(l_orderkey AS VARCHAR) AS cs, l_linenumber BETWEEN 2 AND 4 AS bt, l_linenumber IN (1, 3) AS isin, CAST(l_quantity > 10 AS INT) AS cb, l_linenumber IS DISTINCT FROM 3 AS df
         FROM lineitem"""),
+    "fn_string_more": ("""
+        SELECT p_partkey, initcap(lower(p_brand)) AS ic, ltrim(concat('  ', p_brand)) AS lt, rtrim(concat(p_brand, '  ')) AS rt, CAST(octet_length(p_name) AS BIGINT) AS ol, CAST(bit_length(p_name) AS BIGINT) AS bl,
+          substring_index(p_name, ' ', 1) AS si, hex(p_brand) AS hx, base64(CAST(p_brand AS BINARY)) AS b64, CAST(unhex('414243') AS STRING) AS uh, endswith(p_name, 'a') AS ew, btrim(concat('xx', p_brand, 'xx'), 'x') AS bt,
+          format_string('%s-%05d', p_brand, p_size) AS fs, CAST(regexp_count(p_name, '[aeiou]') AS BIGINT) AS rc, overlay(p_brand PLACING 'Z' FROM 1 FOR 2) AS ov, p_name ILIKE '%A%' AS il, concat_ws('', sort_array(split(p_brand, ''))) AS ss,
+          CAST(size(split(p_name, ' ')) AS BIGINT) AS ns, url_encode(p_name) AS ue, url_decode('a%20b') AS ud, CAST(to_number('1,234', '9,999') AS INT) AS tn, char_length(p_name) + 0L AS cl, strpos2 AS sp
+        FROM (SELECT *, CAST(locate('#', p_brand) AS BIGINT) AS strpos2 FROM part)""", """
+        SELECT p_partkey, concat(upper(left(p_brand, 1)), lower(substr(p_brand, 2))) AS ic, ltrim(concat('  ', p_brand)) AS lt, rtrim(concat(p_brand, '  ')) AS rt, octet_length(encode(p_name)) AS ol, 8 * octet_length(encode(p_name)) AS bl,
+          split_part(p_name, ' ', 1) AS si, hex(p_brand) AS hx, base64(encode(p_brand)) AS b64, decode(unhex('414243')) AS uh, ends_with(p_name, 'a') AS ew, trim(concat('xx', p_brand, 'xx'), 'x') AS bt,
+          format('{}-{:05d}', p_brand, p_size) AS fs, len(regexp_extract_all(p_name, '[aeiou]')) AS rc, 'Z' || substr(p_brand, 3) AS ov, p_name ILIKE '%A%' AS il, array_to_string(list_sort(string_split(p_brand, '')), '') AS ss,
+          len(string_split(p_name, ' ')) AS ns, replace(url_encode(p_name), '%20', '+') AS ue, url_decode('a%20b') AS ud, 1234 AS tn, length(p_name) AS cl, strpos(p_brand, '#') AS sp
+        FROM part"""),
+    "fn_math_more": ("""
+        SELECT p_partkey, round(cos(p_size), 8) AS co, round(tan(p_size), 6) AS ta, round(asin(p_size / 100.0), 8) AS asn, round(acos(p_size / 100.0), 8) AS acs, round(atan(p_size), 8) AS atn, round(sinh(p_size / 10.0), 6) AS sh, round(cosh(p_size / 10.0), 6) AS ch,
+          round(tanh(p_size / 10.0), 8) AS th, round(cot(p_size), 6) AS ct, round(pi(), 8) AS pi, round(e(), 8) AS e, CAST(factorial(p_size % 10) AS BIGINT) AS fa, round(log(2, p_size), 8) AS lg, shiftleft(p_size, 2) AS sl, shiftright(p_size, 1) AS sr,
+          ~p_size AS bn, round(p_retailprice, 1) AS r1, round(p_retailprice, -1) AS rm, isnan(p_retailprice) AS nn, round(hypot(p_size, 3), 8) AS hy, p_size div 7 AS dv, pmod(-p_size, 7) AS pm, width_bucket(p_retailprice, 900, 2000, 10) + 0L AS wb, round(asinh(p_size), 8) AS ash, round(expm1(p_size / 50.0), 8) AS em
+        FROM part""", """
+        SELECT p_partkey, round(cos(p_size), 8) AS co, round(tan(p_size), 6) AS ta, round(asin(p_size / 100.0), 8) AS asn, round(acos(p_size / 100.0), 8) AS acs, round(atan(p_size), 8) AS atn, round(sinh(p_size / 10.0), 6) AS sh, round(cosh(p_size / 10.0), 6) AS ch,
+          round(tanh(p_size / 10.0), 8) AS th, round(cot(p_size), 6) AS ct, round(pi(), 8) AS pi, round(exp(1), 8) AS e, CAST(factorial(p_size % 10) AS BIGINT) AS fa, round(log2(p_size), 8) AS lg, p_size << 2 AS sl, p_size >> 1 AS sr,
+          ~p_size AS bn, round(p_retailprice, 1) AS r1, round(p_retailprice, -1) AS rm, isnan(p_retailprice) AS nn, round(sqrt(p_size * p_size + 9), 8) AS hy, p_size // 7 AS dv, ((-p_size % 7) + 7) % 7 AS pm,
+          CASE WHEN p_retailprice < 900 THEN 0 WHEN p_retailprice >= 2000 THEN 11 ELSE CAST(floor((p_retailprice - 900) / 110) AS BIGINT) + 1 END AS wb, round(asinh(p_size), 8) AS ash, round(exp(p_size / 50.0) - 1, 8) AS em
+        FROM part"""),
+    "fn_date_more": ("""
+        SELECT o_orderkey, CAST(hour(o_orderdate) AS BIGINT) AS h, CAST(minute(o_orderdate) AS BIGINT) AS mi, CAST(second(o_orderdate) AS BIGINT) AS s, make_date(year(o_orderdate), 1, 31) AS md, add_months(CAST(o_orderdate AS DATE), 2) AS am,
+          CAST(date_trunc('week', o_orderdate) AS timestamp_ntz) AS tw, CAST(date_trunc('quarter', o_orderdate) AS timestamp_ntz) AS tq, CAST(date_trunc('hour', o_orderdate) AS timestamp_ntz) AS th, trunc(CAST(o_orderdate AS DATE), 'YEAR') AS ty,
+          date_add(CAST(o_orderdate AS DATE), 10) AS da, date_sub(CAST(o_orderdate AS DATE), 10) AS ds, CAST(timestampdiff(HOUR, TIMESTAMP_NTZ '1992-01-01 00:00:00', o_orderdate) AS BIGINT) AS hd, date_format(o_orderdate, 'EEEE') AS dn,
+          CAST(extract(YEAROFWEEK FROM o_orderdate) AS BIGINT) AS iy, to_date('2024-02-29') AS td, CAST(to_timestamp('2024-02-29 01:02:03') AS timestamp_ntz) AS tt, unix_date(CAST(o_orderdate AS DATE)) + 0L AS ud, o_orderdate BETWEEN TIMESTAMP_NTZ '1995-01-01 00:00:00' AND TIMESTAMP_NTZ '1996-01-01 00:00:00' AS bw
+        FROM orders""", """
+        SELECT o_orderkey, hour(o_orderdate) AS h, minute(o_orderdate) AS mi, second(o_orderdate) AS s, make_date(year(o_orderdate), 1, 31) AS md, CAST(CAST(o_orderdate AS DATE) + INTERVAL 2 MONTH AS DATE) AS am,
+          date_trunc('week', o_orderdate) AS tw, date_trunc('quarter', o_orderdate) AS tq, date_trunc('hour', o_orderdate) AS th, CAST(date_trunc('year', o_orderdate) AS DATE) AS ty,
+          CAST(o_orderdate AS DATE) + 10 AS da, CAST(o_orderdate AS DATE) - 10 AS ds, date_sub('hour', TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS hd, dayname(o_orderdate) AS dn,
+          isoyear(o_orderdate) AS iy, DATE '2024-02-29' AS td, TIMESTAMP '2024-02-29 01:02:03' AS tt, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS ud, o_orderdate BETWEEN TIMESTAMP '1995-01-01 00:00:00' AND TIMESTAMP '1996-01-01 00:00:00' AS bw
+        FROM orders"""),
+    "fn_array_more": ("""
+        SELECT c, array_join(array_union(ks, array(9)), ',') AS un, array_join(array_except(ks, array(1)), ',') AS ex, array_join(array_remove(ks, 2), ',') AS rm, array_join(array_append(ks, 8), ',') AS ap, array_join(array_prepend(ks, 0), ',') AS pr,
+          element_at(ks, 1) AS e1, element_at(ks, -1) AS el, array_join(concat(ks, array(7)), ',') AS cc, array_join(array_repeat(1, 3), ',') AS rp, array_join(sequence(1, 3), ',') AS sq, exists(ks, x -> x > 5) AS ey, forall(ks, x -> x > 0) AS fa,
+          array_join(zip_with(ks, ks, (x, y) -> x * y), ',') AS zw, array_join(array_sort(ks, (x, y) -> y - x), ',') AS sd, array_join(array_compact(array(1, NULL, 2)), ',') AS cp, get(ks, 0) AS g0, size(shuffle(ks)) + 0L AS sh
+        FROM (SELECT l_orderkey AS c, sort_array(collect_set(l_linenumber)) AS ks FROM lineitem GROUP BY l_orderkey)""", """
+        SELECT c, array_to_string(list_append(ks, 9), ',') AS un, array_to_string(list_filter(ks, lambda x: x <> 1), ',') AS ex, array_to_string(list_filter(ks, lambda x: x <> 2), ',') AS rm, array_to_string(list_append(ks, 8), ',') AS ap, array_to_string(list_prepend(0, ks), ',') AS pr,
+          ks[1] AS e1, ks[-1] AS el, array_to_string(list_concat(ks, [7]), ',') AS cc, '1,1,1' AS rp, array_to_string(generate_series(1, 3), ',') AS sq, len(list_filter(ks, lambda x: x > 5)) > 0 AS ey, true AS fa,
+          array_to_string(list_transform(ks, lambda x: x * x), ',') AS zw, array_to_string(list_reverse_sort(ks), ',') AS sd, '1,2' AS cp, ks[1] AS g0, len(ks) AS sh
+        FROM (SELECT l_orderkey AS c, list_sort(list(DISTINCT l_linenumber)) AS ks FROM lineitem GROUP BY l_orderkey)"""),
+    "fn_map_more": ("""
+        SELECT event_id, array_join(map_keys(map('a', 1, 'b', 2)), ',') AS mk, array_join(map_values(map('a', 1, 'b', 2)), ',') AS mv, map_from_entries(array(struct('k', user_id)))['k'] AS fe, map_concat(map('a', 1), map('b', 2))['b'] AS mc,
+          map_filter(map('a', user_id, 'b', -1L), (k, v) -> v >= 0)['b'] AS mf, str_to_map('x:1,y:2', ',', ':')['y'] AS sm, to_json(named_struct('a', 1)) AS tj, from_json('{"a": 5}', 'a INT').a AS fj, try_element_at(map('a', 1), 'z') AS te, size(map_entries(map('a', 1))) + 0L AS me
+        FROM events""", """
+        SELECT event_id, 'a,b' AS mk, '1,2' AS mv, map_from_entries([{'k': 'k', 'v': user_id}])['k'] AS fe, map_concat(map(['a'], [1]), map(['b'], [2]))['b'] AS mc,
+          CAST(NULL AS BIGINT) AS mf, '2' AS sm, CAST(to_json({'a': 1}) AS VARCHAR) AS tj, CAST(json_extract('{"a": 5}', '$.a') AS INT) AS fj, CAST(NULL AS INT) AS te, len(map_entries(map(['a'], [1]))) AS me
+        FROM events"""),
     "unnest_zip": ("SELECT * FROM (SELECT inline(arrays_zip(array(1, 2, 3), array('a', 'b')))) AS t(id, val)", "SELECT unnest([1, 2, 3]) AS id, unnest(['a', 'b']) AS val"),
     "pivot": (
         "SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem) PIVOT (count(l_quantity) FOR l_linestatus IN ('O' AS o, 'F' AS f))",
@@ -216,6 +286,17 @@ def gcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", scalar.gcd(F.col("p_partkey"), F.col("p_size") * 12).alias("g"))
 
 
+def product_dayofweek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.groupBy(scalar.dayofweek0(F.col("o_orderdate")).cast("long").alias("dw"), scalar.date_trunc_ntz("year", F.col("o_orderdate")).alias("y"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(scalar.product(1 + F.col("o_custkey") / 1e6), 6).alias("p"))
+
+
+def zip_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").withColumn("xs", F.array(F.lit(1), F.lit(2), F.lit(3))).withColumn("ys", F.array("n_name", F.lit("x")))
+    return rows.select("n_nationkey", scalar.zip_unnest(F.col("xs"), F.col("ys"))).toDF("n_nationkey", "a", "b")
+
+
 def entropy_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     e = scalar.entropy(orders, "o_orderpriority", ["o_orderstatus"])
@@ -234,6 +315,14 @@ def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_join(left, right, ["user_id"], "ts", "click_ts", ["click_ts", "click_id"])
 
 
+def asof_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join with each key's rows dealt over days."""
+    events = table(spark, sf_dir, "events")
+    left = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    right = events.where("event_type = 'click'").groupBy("user_id", F.col("ts").alias("click_ts")).agg(F.max("event_id").alias("click_id"))
+    return asof_join(left, right, ["user_id"], "ts", "click_ts", ["click_ts", "click_id"], slices=F.to_date("_t"))
+
+
 def interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     bands = spark.range(0, 40).select(F.col("id").alias("band"), (F.col("id") * 10000.0).alias("low"), (F.col("id") * 10000.0 + 15000).alias("high"))
@@ -289,6 +378,11 @@ def stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FUNCTIONS = {
     "rel_prepared": (prepared_parameters, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000.0 AND o_orderstatus = 'F'"),
+    "fn_product_dayofweek": (product_dayofweek, "SELECT dayofweek(o_orderdate) AS dw, date_trunc('year', o_orderdate) AS y, count(*) AS n, round(product(1 + o_custkey / 1e6), 6) AS p FROM orders GROUP BY 1, 2"),
+    "fn_zip_unnest": (zip_unnest, "SELECT n_nationkey, unnest([1, 2, 3]) AS a, unnest([n_name, 'x']) AS b FROM nation"),
+    "rel_asof_slices": (asof_sliced, """
+        WITH c AS (SELECT user_id, ts AS click_ts, max(event_id) AS click_id FROM events WHERE event_type = 'click' GROUP BY 1, 2)
+        SELECT e.event_id, e.user_id, e.ts, c.click_ts, c.click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN c ON e.user_id = c.user_id AND e.ts >= c.click_ts"""),
     "fn_gcd": (gcd, "SELECT p_partkey, gcd(p_partkey, CAST(p_size * 12 AS BIGINT)) AS g FROM part"),
     "rel_entropy_histogram": (entropy_histogram, "SELECT o_orderstatus, round(entropy(o_orderpriority), 8) AS entropy, list_max(map_values(histogram(o_orderpriority)))::BIGINT AS most FROM orders GROUP BY 1"),
     "generate_series": (generate_series, "SELECT generate_series FROM generate_series(1, 1000) WHERE generate_series % 7 = 0"),

@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-from strata.plans import lakes, relational
+from strata.plans import lakes, relational, scenarios
 
 SF = "/root/testdata/sf0.001"
-ALL = lakes.queries() | relational.queries()
-ORACLE = lakes.oracle_sql() | relational.oracle_sql()
+ALL = lakes.queries() | relational.queries() | scenarios.queries()
+ORACLE = lakes.oracle_sql() | relational.oracle_sql() | scenarios.oracle_sql()
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
