@@ -53,14 +53,15 @@ def _matches(text: Column, pattern: Column | str, rank: int, ok=None) -> Column:
         start = acc["at"] + F.length(pair["parts"])
         end = start + F.length(pair["found"])
         one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), pair["found"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        grown = F.concat(acc["out"], F.array(one))
+        # Only what passes is added, as adding copies what is there: a text may have very many runs of digits.
+        return F.struct(end.alias("at"), (F.when(ok(pair["found"]), grown).otherwise(acc["out"]) if ok else grown).alias("out"))
 
     def place(s: Column) -> Column:
         pairs = F.arrays_zip(F.slice(s["parts"], 1, F.size(s["found"])).alias("parts"), s["found"].alias("found"))
         return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
 
-    out = _bind(both, place)
-    return F.filter(out, lambda m: ok(m["text"])) if ok else out
+    return _bind(both, place)
 
 
 def _digits(text: Column) -> Column:

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .store import column, fresh
+from .store import column
 from .textkit import buffers, mix64, ngrams, segment_hashes, slice_batches, slices, spans, word_hashes
 
 #: Labelled documents that the model is fitted on, at most: the lowest hashes of the ids.
@@ -247,16 +248,15 @@ def judge(docs: DataFrame, model: Model | None, text_col: str = "text", threshol
     """
     added = [*COLUMNS, "base_failed", "kept", "probability"]
     names = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    (judged,) = fresh(docs, "judged")
-    rows = docs.select(column(text_col).alias(judged), *[column(c) for c in names])
-    types = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in names] + [f"{c} long" for c in COLUMNS] + ["base_failed boolean, kept boolean, probability double"])
+    rows = docs.select(column(text_col).alias("judged"), *[column(c).alias(f"own{i}") for i, c in enumerate(names)])
+    made = {c: T.LongType() for c in COLUMNS} | {"base_failed": T.BooleanType(), "kept": T.BooleanType(), "probability": T.DoubleType()}
+    schema = T.StructType([docs.schema[docs.columns.index(c)] for c in names] + [T.StructField(c, made[c]) for c in added])
     shipped = docs.sparkSession.sparkContext.broadcast(model) if model else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value if shipped else None
         for batch in batches:
-            for part, data, offsets in slice_batches(batch, judged):
+            for part, data, offsets in slice_batches(batch, "judged"):
                 found = statistics(data, offsets)
                 n = found["n_words"]
                 failed = (n < FAILED_WORDS) | (100 * found["n_repeat_words"] > FAILED_REPEATS * n)
@@ -270,11 +270,12 @@ def accepted(docs: DataFrame, model: Model | None, text_col: str = "text", thres
     """The documents that ``judge`` keeps, with their own columns, whatever their names; equal rows go or stay together, null texts go."""
     shipped = docs.sparkSession.sparkContext.broadcast(model) if model else None
     names = docs.columns
+    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value if shipped else None
         for batch in batches:
-            for part, data, offsets in slice_batches(batch, text_col):
+            for part, data, offsets in slice_batches(batch, f"own{at}"):
                 found = statistics(data, offsets)
                 n = found["n_words"]
                 good = (n >= FAILED_WORDS) & (100 * found["n_repeat_words"] <= FAILED_REPEATS * n)
@@ -282,4 +283,4 @@ def accepted(docs: DataFrame, model: Model | None, text_col: str = "text", thres
                     good &= own.probabilities(data, offsets, found) >= threshold
                 yield part.filter(pa.array(good)).rename_columns(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.toDF(*[f"own{i}" for i in range(len(names))]).mapInArrow(run, docs.schema)
