@@ -15,48 +15,48 @@ def tag(lake, text):
 
 
 def test_create_insert_filter(lake):
-    lake.sql("CREATE TABLE t (a int, b int) USING strata")
-    assert tag(lake, "INSERT INTO t VALUES (1, 101), (2, 202)") == "INSERT 0 2"
-    assert rows(lake.sql("SELECT * FROM t ORDER BY a")) == [(1, 101), (2, 202)]
-    assert rows(lake.sql("SELECT b FROM public.t WHERE a = 2")) == [(202,)]
+    lake.sql("CREATE TABLE wells (no int, depth int) USING strata")
+    assert tag(lake, "INSERT INTO wells VALUES (7, 40), (8, 55), (9, 61)") == "INSERT 0 3"
+    assert rows(lake.sql("SELECT * FROM wells ORDER BY depth")) == [(7, 40), (8, 55), (9, 61)]
+    assert rows(lake.sql("SELECT no FROM public.wells WHERE depth > 50")) == [(8,), (9,)]
 
 
 def test_ctas_top_k(lake):
-    assert tag(lake, "CREATE TABLE c USING strata AS SELECT generate_series AS id, 'hello ' || generate_series AS msg FROM generate_series(1, 1000)") == "SELECT 1000"
-    assert rows(lake.sql("SELECT id FROM c ORDER BY id DESC LIMIT 2")) == [(999,), (1000,)]
+    assert tag(lake, "CREATE TABLE squares USING strata AS SELECT generate_series AS k, generate_series * generate_series AS sq FROM generate_series(1, 700)") == "SELECT 700"
+    assert rows(lake.sql("SELECT sq FROM squares ORDER BY k DESC LIMIT 2")) == [(699 * 699,), (700 * 700,)]
 
 
 def test_row_counts(lake):
-    lake.sql("CREATE TABLE rc (id int, val string)")
-    assert tag(lake, "INSERT INTO rc VALUES (1, 'one')") == "INSERT 0 1"
-    assert tag(lake, "INSERT INTO rc VALUES (2, 'two'), (3, 'three'), (4, 'four')") == "INSERT 0 3"
-    assert tag(lake, "UPDATE rc SET val = 'updated' WHERE id <= 2") == "UPDATE 2"
-    assert tag(lake, "DELETE FROM rc WHERE id = 4") == "DELETE 1"
-    assert tag(lake, "DELETE FROM rc WHERE id = 4") == "DELETE 0"
-    assert rows(lake.table("rc")) == [(1, "updated"), (2, "updated"), (3, "three")]
+    lake.sql("CREATE TABLE berths (quay string, metres double)")
+    assert tag(lake, "INSERT INTO berths VALUES ('north', 120.5)") == "INSERT 0 1"
+    assert tag(lake, "INSERT INTO berths VALUES ('south', 80), ('south', 95), ('west', 200), ('west', 60)") == "INSERT 0 4"
+    assert tag(lake, "UPDATE berths SET metres = metres + 5 WHERE quay <> 'north'") == "UPDATE 4"
+    assert tag(lake, "DELETE FROM berths WHERE metres < 90") == "DELETE 2"
+    assert tag(lake, "DELETE FROM berths WHERE quay = 'east'") == "DELETE 0"
+    assert rows(lake.table("berths")) == [("north", 120.5), ("south", 100.0), ("west", 205.0)]
 
 
 def test_schema_evolution(lake):
-    lake.sql("CREATE TABLE d (id int, name string)")
-    lake.sql("INSERT INTO d VALUES (1, 'Alice')")
+    lake.sql("CREATE TABLE probe (station int, reading string)")
+    lake.sql("INSERT INTO probe VALUES (11, 'calm')")
     before = lake.current_snapshot()
-    lake.sql("ALTER TABLE d RENAME TO e")
-    lake.sql("ALTER TABLE e ADD COLUMN age int DEFAULT 20")
-    lake.sql("INSERT INTO e VALUES (2, 'Bob', 30)")
-    lake.sql("ALTER TABLE e RENAME COLUMN name TO full_name")
-    lake.sql("ALTER TABLE e ALTER COLUMN id TYPE bigint")
-    assert lake.table("e").columns == ["id", "full_name", "age"]
-    assert dict(lake.table("e").dtypes)["id"] == "bigint"
-    assert rows(lake.table("e")) == [(1, "Alice", 20), (2, "Bob", 30)]
-    assert rows(lake.sql(f"SELECT * FROM time_travel('d', {before})")) == [(1, "Alice")]
-    assert rows(lake.sql("SELECT id FROM e WHERE age = 20")) == [(1,)]
-    lake.sql("ALTER TABLE e DROP COLUMN age")
-    assert rows(lake.table("e")) == [(1, "Alice"), (2, "Bob")]
+    lake.sql("ALTER TABLE probe ADD COLUMN gusts double DEFAULT 0.5")
+    lake.sql("ALTER TABLE probe RENAME COLUMN reading TO sky")
+    lake.sql("INSERT INTO probe VALUES (12, 'storm', 31.25)")
+    lake.sql("ALTER TABLE probe RENAME TO weather")
+    lake.sql("ALTER TABLE weather ALTER COLUMN station TYPE bigint")
+    lake.sql("INSERT INTO weather VALUES (9000000000, 'fog', NULL)")
+    assert lake.table("weather").dtypes == [("station", "bigint"), ("sky", "string"), ("gusts", "double")]
+    assert rows(lake.table("weather").where("gusts IS NOT NULL")) == [(11, "calm", 0.5), (12, "storm", 31.25)]
+    assert rows(lake.sql(f"SELECT * FROM time_travel('probe', {before})")) == [(11, "calm")]
+    assert rows(lake.sql("SELECT station FROM weather WHERE gusts < 1")) == [(11,)]
+    lake.sql("ALTER TABLE weather DROP COLUMN gusts")
+    assert rows(lake.table("weather")) == [(11, "calm"), (12, "storm"), (9000000000, "fog")]
     with pytest.raises(LakeError):
-        lake.sql("ALTER TABLE e ALTER COLUMN full_name TYPE int")
-    lake.sql("ALTER TABLE e ALTER COLUMN full_name SET DEFAULT 'nobody'")
-    lake.sql("INSERT INTO e (id) VALUES (3)")
-    assert rows(lake.sql("SELECT full_name FROM e WHERE id = 3")) == [("nobody",)]
+        lake.sql("ALTER TABLE weather ALTER COLUMN sky TYPE int")
+    lake.sql("ALTER TABLE weather ALTER COLUMN sky SET DEFAULT 'unknown'")
+    lake.sql("INSERT INTO weather (station) VALUES (13)")
+    assert rows(lake.sql("SELECT sky FROM weather WHERE station = 13")) == [("unknown",)]
 
 
 def test_not_null(lake):
@@ -135,21 +135,21 @@ def test_inlining_and_flush(lake):
 
 
 def test_partition(lake):
-    lake.sql("CREATE TABLE p (id int, category string, ts timestamp, val int)")
-    lake.sql("INSERT INTO p VALUES (0, 'old', timestamp_ntz'2020-01-01 00:00:00', 0)")
-    lake.sql("CALL set_partition('p', 'category', 'year(ts)')")
-    lake.sql("INSERT INTO p VALUES (1, 'a', timestamp_ntz'2024-01-15 00:00:00', 10), (2, 'b', timestamp_ntz'2024-06-20 00:00:00', 20), (3, NULL, timestamp_ntz'2025-06-20 00:00:00', 30)")
-    assert rows(lake.get_partition("p")) == [(0, "category", "identity"), (1, "ts", "year")]
+    lake.sql("CREATE TABLE logbook (entry int, ship string, noted timestamp, miles int)")
+    lake.sql("INSERT INTO logbook VALUES (0, 'Anna', timestamp_ntz'1999-12-31 23:00:00', 3)")
+    lake.sql("CALL set_partition('logbook', 'ship', 'year(noted)')")
+    lake.sql("INSERT INTO logbook VALUES (5, 'Anna', timestamp_ntz'2011-03-04 05:00:00', 17), (6, 'Berta', timestamp_ntz'2011-09-08 07:00:00', 29), (7, NULL, timestamp_ntz'2012-01-02 03:00:00', 71)")
+    assert rows(lake.get_partition("logbook")) == [(0, "ship", "identity"), (1, "noted", "year")]
     values = rows(lake.metadata_table("file_partition_value").select("partition_key_index", "partition_value").where("partition_value is not null"))
-    assert values == [(0, "a"), (0, "b"), (1, "2024"), (1, "2024"), (1, "2025")]
-    assert lake.list_files("p").count() == 4
-    few = lake.table("p", filters=[("category", "=", "a")])
-    assert rows(few.select("id")) == [(1,)] and len(few.inputFiles()) == 1
-    assert len(lake.table("p", filters=[("val", ">=", 30)]).inputFiles()) == 1
-    lake.sql("CALL reset_partition('p')")
-    lake.sql("INSERT INTO p VALUES (4, 'c', timestamp_ntz'2024-01-01 00:00:00', 40)")
-    assert lake.table("p").count() == 5
-    for bad in ("CALL set_partition('p', NULL)", "CALL set_partition('p', 'nope')", "CALL set_partition('missing', 'id')", "CALL set_partition('p', 'week(ts)')"):
+    assert values == [(0, "Anna"), (0, "Berta"), (1, "2011"), (1, "2011"), (1, "2012")]
+    assert lake.list_files("logbook").count() == 4
+    few = lake.table("logbook", filters=[("ship", "=", "Berta")])
+    assert rows(few.select("entry")) == [(6,)] and len(few.inputFiles()) == 1
+    assert len(lake.table("logbook", filters=[("miles", ">=", 70)]).inputFiles()) == 1
+    lake.sql("CALL reset_partition('logbook')")
+    lake.sql("INSERT INTO logbook VALUES (8, 'Clara', timestamp_ntz'2013-01-01 00:00:00', 1)")
+    assert lake.table("logbook").count() == 5
+    for bad in ("CALL set_partition('logbook', NULL)", "CALL set_partition('logbook', 'nope')", "CALL set_partition('missing', 'entry')", "CALL set_partition('logbook', 'week(noted)')"):
         with pytest.raises(LakeError):
             lake.sql(bad)
 
@@ -174,27 +174,27 @@ def test_sorted(lake):
 
 
 def test_vacuum(lake):
-    lake.sql("CREATE TABLE v (a int, b string)")
-    for i in range(5):
-        lake.sql(f"INSERT INTO v VALUES ({i}, 'r{i}')")
-    assert lake.list_files("v").count() == 5
-    said = lake.sql("VACUUM VERBOSE v").collect()
-    assert len(said) == 3 and lake.list_files("v").count() == 1
-    lake.sql("CREATE TABLE w (a int, b string)")
-    lake.insert("w", lake.spark.range(1, 101).selectExpr("cast(id as int) a", "concat('x', id) b").coalesce(1))
-    lake.sql("DELETE FROM w WHERE a <= 20")
+    lake.sql("CREATE TABLE tides (day int, height double)")
+    for day in range(7):
+        lake.sql(f"INSERT INTO tides VALUES ({day}, {day}.25)")
+    assert lake.list_files("tides").count() == 7
+    said = lake.sql("VACUUM VERBOSE tides").collect()
+    assert len(said) == 3 and lake.list_files("tides").count() == 1
+    lake.sql("CREATE TABLE gauge (minute int, mark string)")
+    lake.insert("gauge", lake.spark.range(60).selectExpr("cast(id as int) minute", "concat('m', id) mark").coalesce(1))
+    lake.sql("DELETE FROM gauge WHERE minute % 4 = 0")
     v = lake.current_snapshot()
-    files = lake.list_files("w").first()
-    assert (files.record_count, files.delete_files, files.deleted_rows) == (100, 1, 20)
-    lake.sql("VACUUM w")
-    files = lake.list_files("w").first()
-    assert (files.record_count, files.delete_files) == (80, 0)
-    assert lake.table("w").count() == 80 == lake.table("w", version=v).count()
+    files = lake.list_files("gauge").first()
+    assert (files.record_count, files.delete_files, files.deleted_rows) == (60, 1, 15)
+    lake.sql("VACUUM gauge")
+    files = lake.list_files("gauge").first()
+    assert (files.record_count, files.delete_files) == (45, 0)
+    assert lake.table("gauge").count() == 45 == lake.table("gauge", version=v).count()
     lake.expire_snapshots(older_than=dt.datetime.now(dt.timezone.utc))
     gone = lake.sql("SELECT * FROM cleanup_old_files()").count()
-    assert gone >= 7 and lake.table("w").count() == 80 and lake.table("v").count() == 5
+    assert gone >= 9 and lake.table("gauge").count() == 45 and lake.table("tides").count() == 7
     with pytest.raises(LakeError):
-        lake.table("w", version=v)
+        lake.table("gauge", version=v)
 
 
 def test_transactions(spark, lake):
@@ -233,73 +233,73 @@ def test_transactions(spark, lake):
 
 
 def test_direct_insert_guards(lake):
-    lake.sql("CREATE TABLE u (id int, val string)")
-    assert rows(lake.sql("SELECT * FROM (SELECT inline(arrays_zip(array(1, 2, 3), array('a', 'b', 'c'))))")) == [(1, "a"), (2, "b"), (3, "c")]
-    assert lake.insert_arrays("u", {"id": [1, 2], "val": ["a", "b"]}) == 2  # inlining is off: a file
-    assert lake.list_files("u").count() >= 1
-    lake.set_option("data_inlining_row_limit", 100, "u")
-    before = lake.list_files("u").count()
-    lake.insert_arrays("u", {"id": [3], "val": ["c"]})
+    lake.sql("CREATE TABLE tally (n int, who string)")
+    assert lake.insert_arrays("tally", {"n": [12, 15, 18], "who": ["p", "q", None]}) == 3  # inlining is off: a file
+    assert lake.list_files("tally").count() >= 1
+    lake.set_option("data_inlining_row_limit", 40, "tally")
+    before = lake.list_files("tally").count()
+    lake.insert_arrays("tally", {"n": [21], "who": ["r"]})
     lake.set("enable_direct_insert", False)
-    lake.insert_arrays("u", {"id": [4], "val": ["d"]})
-    assert lake.list_files("u").count() == before and lake.table("u").count() == 4
+    lake.insert_arrays("tally", {"n": [24], "who": ["s"]})
+    assert lake.list_files("tally").count() == before and rows(lake.sql("SELECT sum(n) AS s FROM tally")) == [(90,)]
 
 
 def test_options_and_settings(lake):
-    lake.sql("CREATE TABLE o (a int)")
-    lake.set_option("data_inlining_row_limit", 100)
-    lake.set_option("data_inlining_row_limit", 50, "o")
-    found = {(r.scope, r.scope_entry): r.value for r in lake.options().where("option_name = 'data_inlining_row_limit'").collect()}
-    assert found == {("global", None): "100", ("table", "public.o"): "50"}
+    lake.sql("CREATE TABLE knobs (turn int)")
+    lake.set_option("target_file_size", 64_000_000)
+    lake.set_option("target_file_size", 8_000_000, "knobs")
+    found = {(r.scope, r.scope_entry): r.value for r in lake.options().where("option_name = 'target_file_size'").collect()}
+    assert found == {("global", None): "64000000", ("table", "public.knobs"): "8000000"}
     with pytest.raises(LakeError, match="Unsupported option"):
-        lake.set_option("nonexistent_option", 1)
+        lake.set_option("no_such_knob", 1)
     with pytest.raises(LakeError):
         lake.set("vacuum_delete_threshold", 2)
     lake.set_option("require_commit_message", True)
     with pytest.raises(LakeError, match="message"):
-        lake.sql("INSERT INTO o VALUES (1)")
-    lake.set_commit_message("first", "me")
-    lake.sql("INSERT INTO o VALUES (1)")
-    assert lake.snapshots().orderBy("snapshot_id", ascending=False).first().commit_message == "first"
+        lake.sql("INSERT INTO knobs VALUES (3)")
+    lake.set_commit_message("first turn", "me")
+    lake.sql("INSERT INTO knobs VALUES (3)")
+    assert lake.snapshots().orderBy("snapshot_id", ascending=False).first().commit_message == "first turn"
 
 
 def test_freeze_and_attach(spark, lake, tmp_path):
-    lake.sql("CREATE TABLE src (id int, name string, score double)")
-    lake.sql("INSERT INTO src VALUES (1, 'Alice', 95.5), (2, 'Bob', 87.3), (3, 'Charlie', 92.1)")
-    lake.sql(f"CALL freeze('{tmp_path}/frozen.db')")
+    lake.sql("CREATE TABLE boats (hull int, port string, knots double)")
+    lake.sql("INSERT INTO boats VALUES (40, 'Rostock', 11.5), (41, 'Brest', 14.0), (42, 'Cadiz', 9.5), (43, 'Hull', 17.0)")
+    lake.sql(f"CALL freeze('{tmp_path}/still.db')")
     with pytest.raises(LakeError, match="cannot be NULL"):
         lake.sql("CALL freeze(NULL)")
     other = Lake.open(spark, str(tmp_path / "second"))
-    other.attach("fr", f"{tmp_path}/frozen.db", lake.data_path, frozen=True)
+    other.attach("still", f"{tmp_path}/still.db", lake.data_path, frozen=True)
     other.attach("live", lake.path.rsplit("/", 1)[0])
-    other.sql("CREATE TABLE mine (id int, tag string)")
-    other.sql("INSERT INTO mine VALUES (1, 'x'), (3, 'y')")
-    lake.sql("DELETE FROM src WHERE id = 3")
-    got = other.sql("SELECT count(*) AS n, round(avg(score), 4) AS a FROM fr.src").first()
-    assert (got.n, got.a) == (3, 91.6333)
-    assert rows(other.sql("SELECT m.id, s.name FROM mine m JOIN live.src s ON m.id = s.id")) == [(1, "Alice")]
-    assert rows(other.sql("SELECT name FROM fr.src f WHERE EXISTS (SELECT 1 FROM mine WHERE mine.id = f.id)")) == [("Alice",), ("Charlie",)]
-    for bad in ("INSERT INTO live.src VALUES (9, 'z', 1.0)", "DELETE FROM live.src", "UPDATE fr.src SET id = 1"):
+    other.sql("CREATE TABLE crew (hull int, hands int)")
+    other.sql("INSERT INTO crew VALUES (41, 6), (43, 9)")
+    lake.sql("DELETE FROM boats WHERE port = 'Hull'")
+    got = other.sql("SELECT count(*) AS n, avg(knots) AS k FROM still.boats").first()
+    assert (got.n, got.k) == (4, 13.0)
+    assert rows(other.sql("SELECT c.hands, b.port FROM crew c JOIN live.boats b ON c.hull = b.hull")) == [(6, "Brest")]
+    assert rows(other.sql("SELECT port FROM still.boats b WHERE EXISTS (SELECT 1 FROM crew WHERE crew.hull = b.hull)")) == [("Brest",), ("Hull",)]
+    for bad in ("INSERT INTO live.boats VALUES (9, 'z', 1.0)", "DELETE FROM live.boats", "UPDATE still.boats SET hull = 1"):
         with pytest.raises(LakeError, match="read-only"):
             other.sql(bad)
     other.close()
 
 
 def test_hybrid_and_catalog(spark, lake):
-    spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, val string").createOrReplaceTempView("heap")
-    lake.sql("CREATE TABLE hl (id int, val string)")
-    lake.sql("INSERT INTO hl VALUES (1, 'x'), (2, 'y')")
-    assert rows(lake.sql("SELECT (SELECT count(*) FROM heap) AS h, (SELECT count(*) FROM hl) AS l")) == [(3, 2)]
-    assert [r.table_name for r in lake.table_info().collect()] == ["hl"]
-    assert lake.sql("SELECT * FROM meta.data_file").count() == lake.list_files("hl").count()
+    spark.range(5).selectExpr("id", "id * 2 AS twice").createOrReplaceTempView("plain_numbers")
+    lake.sql("CREATE TABLE odd_ones (id bigint, word string)")
+    lake.sql("INSERT INTO odd_ones VALUES (1, 'one'), (3, 'three')")
+    assert rows(lake.sql("SELECT (SELECT max(twice) FROM plain_numbers) AS h, (SELECT min(word) FROM odd_ones) AS l")) == [(8, "one")]
+    assert rows(lake.sql("SELECT word FROM odd_ones JOIN plain_numbers USING (id) WHERE twice > 4")) == [("three",)]
+    assert [r.table_name for r in lake.table_info().collect()] == ["odd_ones"]
+    assert lake.sql("SELECT * FROM meta.data_file").count() == lake.list_files("odd_ones").count()
     assert lake.sql("SELECT * FROM current_snapshot()").first()[0] == lake.last_committed_snapshot()
     with pytest.raises(LakeError):
         lake.sql("CREATE TEMP TABLE q (a int)")
     with pytest.raises(LakeError):
-        lake.list_files("heap")
+        lake.list_files("plain_numbers")
     again = Lake.open(spark, lake.path.rsplit("/", 1)[0])
-    assert rows(again.table("hl")) == [(1, "x"), (2, "y")]
-    again.sql("DROP TABLE hl")
+    assert rows(again.table("odd_ones")) == [(1, "one"), (3, "three")]
+    again.sql("DROP TABLE odd_ones")
     assert lake.table_info().count() == 0
     again.close()
 
@@ -371,9 +371,9 @@ def test_names_in_queries(spark, lake):
 
 
 def test_unnest(lake):
-    lake.sql("CREATE TABLE un (id int, val string)")
-    assert tag(lake, "INSERT INTO un SELECT UNNEST(ARRAY[1, 2, 3]), UNNEST(ARRAY['a', 'b', 'c'])") == "INSERT 0 3"
-    assert tag(lake, "INSERT INTO un SELECT UNNEST(ARRAY[4, 5]) AS id, UNNEST(ARRAY['d', NULL]) AS val") == "INSERT 0 2"
-    assert rows(lake.sql("SELECT * FROM un WHERE id > 3 AND val IS NOT NULL")) == [(4, "d")]
-    assert rows(lake.sql("SELECT x + 1 AS y FROM UNNEST(ARRAY[1, 2]) AS q(x)")) == [(2,), (3,)]
-    assert lake.table("un").count() == 5
+    lake.sql("CREATE TABLE pairs (left_one int, right_one string)")
+    assert tag(lake, "INSERT INTO pairs SELECT UNNEST(ARRAY[9, 8, 7, 6]), UNNEST(ARRAY['i', 'h', 'g', 'f'])") == "INSERT 0 4"
+    assert tag(lake, "INSERT INTO pairs SELECT UNNEST(ARRAY[30, 20]) AS left_one, UNNEST(ARRAY['t', NULL]) AS right_one") == "INSERT 0 2"
+    assert rows(lake.sql("SELECT * FROM pairs WHERE left_one > 10 AND right_one IS NOT NULL")) == [(30, "t")]
+    assert rows(lake.sql("SELECT x * 3 AS y FROM UNNEST(ARRAY[1, 5]) AS q(x)")) == [(3,), (15,)]
+    assert lake.table("pairs").count() == 6
\ No newline at end of file
