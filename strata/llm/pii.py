@@ -9,7 +9,7 @@ to e; the rest, the pointwise mutual information, is what t discloses.  A term t
 than ``most_bits``, that discloses ``least_share`` of e's information or more, and that was seen in enough
 different contexts of e is a span too, wherever it occurs: in ``min_contexts`` of them, or, if e has
 fewer, in all it has, which must be two or more, as a single context ties no word to e rather than to
-its text.
+its text.  An entity with ``most_bits`` or less is common knowledge, which no term discloses.
 """
 
 from __future__ import annotations
@@ -189,7 +189,7 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, min_contexts: int = MIN_
     share = F.least(F.col("shared") / F.col("documents"), F.lit(1.0))
     scored = pairs.join(counts, "term").join(F.broadcast(total))  # one row
     scored = scored.select("term", (-F.log2(share)).alias("bits"), F.log2(share * F.col("total") / F.col("with_entity")).alias("pmi"), F.log2(F.col("total") / F.col("with_entity")).alias("own"), "shared")
-    told = scored.where((F.col("bits") <= most_bits) & (F.col("pmi") > 0) & (F.col("pmi") >= least_share * F.col("own")))
+    told = scored.where((F.col("own") > most_bits) & (F.col("bits") <= most_bits) & (F.col("pmi") > 0) & (F.col("pmi") >= least_share * F.col("own")))
     return told.groupBy("term").agg(F.min("bits").alias("bits"), F.max("pmi").alias("pmi"), F.max("shared").alias("shared"))
 
 
