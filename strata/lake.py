@@ -151,7 +151,7 @@ class Lake:
         later = self.catalog.rows("SELECT changes_made FROM snapshot_changes WHERE snapshot_id > ?", base)
         altered = {m for r in later for m in re.findall(r'(?:altered_table|dropped_table):"([^"]+)"', r["changes_made"])}
         for method, args, _ in log:
-            if args[0] in altered and method != "create_table":
+            if args[0] in altered and method not in ("create_table", "create_schema"):
                 raise Conflict(f'another transaction has changed table "{args[0]}"')
         for method, args, _ in log:
             if method == "add_deletes":
@@ -220,6 +220,10 @@ class Lake:
         self._commit(log)
         return sum(f["record_count"] for f in files)
 
+    def create_schema(self, name: str, if_not_exists: bool = False) -> None:
+        if not (if_not_exists and self.cat.has_schema(name)):
+            self._commit([("create_schema", (name, str(uuid.uuid4())), {})])
+
     def drop_table(self, name: str, if_exists: bool = False) -> None:
         if if_exists and not self.cat.table(name, self._at()):
             return

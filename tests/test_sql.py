@@ -233,3 +233,53 @@ def test_footers_by_tasks_are_those_of_the_driver(lake, spark, monkeypatch):
     lake.create_table_as("many", spark.range(0, 30, 1, 5).selectExpr("id", "CAST(id AS STRING) AS s", "CAST(NULL AS INT) AS n"))
     found = lake.sql("SELECT * FROM many WHERE id = 29")
     assert found.count() == 1 and files_read(found) == 1
+
+
+def test_defaults_in_values_and_assignments(lake):
+    lake.sql("CREATE TABLE crew (id int, name text DEFAULT 'none, yet', rank int)")
+    assert values(lake.sql("INSERT INTO crew VALUES (1, DEFAULT, 5), (2, 'DEFAULT', DEFAULT)")) == [("INSERT 0 2",)]
+    lake.sql("INSERT INTO crew DEFAULT VALUES")
+    lake.sql("INSERT INTO crew (rank, id) VALUES (DEFAULT, 3)")
+    lake.sql("INSERT INTO crew (id, name) (SELECT id + 10, name FROM crew WHERE id = 1)")
+    everyone = [(1, "none, yet", 5), (2, "DEFAULT", None), (3, "none, yet", None), (11, "none, yet", None), (None, "none, yet", None)]
+    assert values(lake.sql("SELECT * FROM crew ORDER BY id")) == everyone
+    lake.sql("UPDATE crew SET (name, rank) = ('first, (second)', id + 1) WHERE id = 3")
+    lake.sql("UPDATE crew SET name = DEFAULT, rank = DEFAULT WHERE id IN (1, 2)")
+    assert values(lake.sql("SELECT name, rank FROM crew WHERE id < 4 ORDER BY id")) == [("none, yet", None), ("none, yet", None), ("first, (second)", 4)]
+
+
+def test_statements_on_several_tables_or_columns(lake):
+    lake.sql("CREATE TABLE a (x int)")
+    lake.sql("INSERT INTO a VALUES (1), (2)")
+    assert values(lake.sql("CREATE TABLE IF NOT EXISTS a AS SELECT 7 AS x")) == [("CREATE TABLE AS",)]
+    before = lake.current_snapshot()
+    lake.sql("ALTER TABLE a ADD COLUMN y decimal(10, 2) DEFAULT 5, ADD COLUMN z text")
+    assert lake.current_snapshot() == before + 1
+    lake.sql("ALTER TABLE a ADD COLUMN IF NOT EXISTS y int")
+    lake.sql("ALTER TABLE a DROP COLUMN IF EXISTS w, DROP COLUMN IF EXISTS z")
+    lake.sql("ALTER TABLE IF EXISTS missing ADD COLUMN y int")
+    assert [(c, k) for c, k in lake.table("a").dtypes] == [("x", "int"), ("y", "decimal(10,2)")]
+    assert values(lake.sql("SELECT x, y::float8 FROM a ORDER BY x")) == [(1, 5.0), (2, 5.0)]
+    with pytest.raises(LakeError):
+        lake.sql("ALTER TABLE a ADD COLUMN v int, DROP COLUMN missing")
+    assert lake.table("a").columns == ["x", "y"]
+    lake.sql("CREATE SCHEMA IF NOT EXISTS port")
+    lake.sql("CREATE SCHEMA IF NOT EXISTS port")
+    lake.sql("CREATE TABLE port.a (x int)")
+    lake.sql("INSERT INTO port.a VALUES (9)")
+    assert values(lake.sql("SELECT a.x, b.x FROM a JOIN port.a b ON a.x < b.x ORDER BY a.x")) == [(1, 9), (2, 9)]
+    lake.sql("VACUUM")
+    assert values(lake.sql("TRUNCATE TABLE a, port.a")) == [("TRUNCATE TABLE",)]
+    assert values(lake.sql("SELECT count(*) FROM a")) == values(lake.sql("SELECT count(*) FROM port.a")) == [(0,)]
+    with pytest.raises(LakeError):
+        lake.sql("DROP TABLE a, missing")
+    lake.sql("DROP TABLE a, port.a CASCADE")
+    with pytest.raises(LakeError):
+        lake.table("a")
+
+
+def test_types_by_other_names(lake):
+    lake.sql("CREATE TABLE n (i int, s text)")
+    lake.sql("INSERT INTO n VALUES (1, '::text'), (2, '20')")
+    assert values(lake.sql("SELECT i::text || 'k', CAST(s AS varchar), CAST(abs(i) AS int8) AS text FROM n ORDER BY i")) == [("1k", "::text", 1), ("2k", "20", 2)]
+    assert values(lake.sql("DELETE FROM n WHERE s::text = i::text || '0'")) == [("DELETE 1",)]
