@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.catalog import Catalog
@@ -21,7 +21,7 @@ def _union(parts: list[DataFrame]) -> DataFrame | None:
 def _files(spark: SparkSession, files: list[dict], columns: list[dict], data_path: str, key: str, begins: bool) -> DataFrame:
     rows = read_files(spark, files, columns, data_path, meta=True)
     when = spark.createDataFrame([(f["path"], f[key]) for f in files], "p string, snapshot_id long")
-    return rows.join(when, F.col("_path") == F.col("p")).drop("p")
+    return rows.join(F.broadcast(when), F.col("_path") == F.col("p")).drop("p")
 
 
 def insertions(spark: SparkSession, cat: Catalog, data_path: str, table: dict, start: int, end: int) -> DataFrame:
@@ -34,7 +34,7 @@ def insertions(spark: SparkSession, cat: Catalog, data_path: str, table: dict, s
     rows = inlined_rows(spark, cat, table_id, end, columns, batches, meta=True, dead=set())
     if rows is not None:
         when = spark.createDataFrame([(b["batch_uuid"], b["begin_snapshot"]) for b in batches], "p string, snapshot_id long")
-        parts.append(rows.join(when, F.col("_path") == F.col("p")).drop("p"))
+        parts.append(rows.join(F.broadcast(when), F.col("_path") == F.col("p")).drop("p"))
     out = _union([p.select("snapshot_id", F.col("_row_id").alias("rowid"), *names) for p in parts])
     return out if out is not None else _none(spark, columns)
 
@@ -48,7 +48,7 @@ def deletions(spark: SparkSession, cat: Catalog, data_path: str, table: dict, st
     ended = cat.rows("SELECT * FROM data_file WHERE table_id = ? AND end_snapshot BETWEEN ? AND ? AND end_silent = 0", table_id, start, end)
     if ended:
         earlier = cat.rows("SELECT d.* FROM delete_file d JOIN data_file f USING (data_file_id) WHERE f.table_id = ? AND f.end_snapshot BETWEEN ? AND ? AND f.end_silent = 0 AND d.begin_snapshot < f.end_snapshot", table_id, start, end)
-        rows = without_deleted(spark, _files(spark, ended, columns, data_path, "end_snapshot", False), earlier, data_path)
+        rows = without_deleted(spark, _files(spark, ended, columns, data_path, "end_snapshot", False), ended, earlier, data_path)
         parts.append(rows.select("snapshot_id", F.col("_row_id").alias("rowid"), *names))
     # Places in files.
     deletes = cat.rows("SELECT d.path, d.begin_snapshot, d.data_file_id FROM delete_file d WHERE d.table_id = ? AND d.begin_snapshot BETWEEN ? AND ?", table_id, start, end)
@@ -60,14 +60,14 @@ def deletions(spark: SparkSession, cat: Catalog, data_path: str, table: dict, st
         gone = spark.read.schema("data_path string, pos long").parquet(*[located(data_path, p) for p in sorted({d["path"] for d in deletes})])
         gone = gone.withColumn("f", F.col("_metadata.file_name"))
         when = spark.createDataFrame([(d["path"].rsplit("/", 1)[-1], path_of[d["data_file_id"]], d["begin_snapshot"]) for d in deletes], "df string, dp string, snapshot_id long")
-        gone = gone.join(when, (F.col("f") == F.col("df")) & (F.col("data_path") == F.col("dp"))).select("data_path", "pos", "snapshot_id")
-        parts.append(rows.join(gone, (F.col("_path") == F.col("data_path")) & (F.col("_pos") == F.col("pos"))).select("snapshot_id", F.col("_row_id").alias("rowid"), *names))
+        gone = gone.join(F.broadcast(when), (F.col("f") == F.col("df")) & (F.col("data_path") == F.col("dp"))).select(F.col("data_path").alias("_gone_path"), F.col("pos").alias("_gone_pos"), "snapshot_id")
+        parts.append(rows.join(gone.hint("merge"), (F.col("_path") == F.col("_gone_path")) & (F.col("_pos") == F.col("_gone_pos"))).select("snapshot_id", F.col("_row_id").alias("rowid"), *names))
     dead = cat.rows("SELECT * FROM inlined_delete WHERE table_id = ? AND begin_snapshot BETWEEN ? AND ?", table_id, start, end)
     own = {d["batch_uuid"] for d in dead}
     rows = inlined_rows(spark, cat, table_id, end, columns, [b for b in cat.rows("SELECT * FROM inlined_batch WHERE table_id = ?", table_id) if b["batch_uuid"] in own], meta=True, dead=set())
     if rows is not None:
         when = spark.createDataFrame([(d["batch_uuid"], d["place"], d["begin_snapshot"]) for d in dead], "batch string, place long, snapshot_id long")
-        parts.append(rows.join(when, (F.col("_path") == F.col("batch")) & (F.col("_pos") == F.col("place"))).select("snapshot_id", F.col("_row_id").alias("rowid"), *names))
+        parts.append(rows.join(F.broadcast(when), (F.col("_path") == F.col("batch")) & (F.col("_pos") == F.col("place"))).select("snapshot_id", F.col("_row_id").alias("rowid"), *names))
     out = _union(parts)
     return out if out is not None else _none(spark, columns)
 
@@ -83,8 +83,7 @@ def changes(spark: SparkSession, cat: Catalog, data_path: str, table: dict, star
     went = deletions(spark, cat, data_path, table, start, end)
     names = [c for c in came.columns if c not in SYSTEM]
     both = came.withColumn("_came", F.lit(1)).unionByName(went.withColumn("_came", F.lit(0)))
-    pairs = both.groupBy(F.col("snapshot_id").alias("s"), F.col("rowid").alias("r")).agg(F.count_distinct("_came").alias("sides")).where("sides = 2")
-    marked = both.join(pairs, (F.col("snapshot_id") == F.col("s")) & (F.col("rowid") == F.col("r")), "left")
-    updated = F.col("sides").isNotNull()
+    images = Window.partitionBy("snapshot_id", "rowid")
+    updated = F.min("_came").over(images) < F.max("_came").over(images)
     kind = F.when(F.col("_came") == 1, F.when(updated, "update_postimage").otherwise("insert")).otherwise(F.when(updated, "update_preimage").otherwise("delete"))
-    return marked.select("snapshot_id", "rowid", kind.alias("change_type"), *names)
+    return both.select("snapshot_id", "rowid", kind.alias("change_type"), *names)

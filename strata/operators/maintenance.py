@@ -64,7 +64,8 @@ def vacuum(lake, name: str) -> list[str]:
         if chosen:
             ids = {f["data_file_id"] for f in chosen}
             rows = read_files(lake.spark, chosen, columns, lake.data_path, meta=True)
-            rows = without_deleted(lake.spark, rows, [d for d in deletes if d["data_file_id"] in ids], lake.data_path)
+            dead = [d for d in deletes if d["data_file_id"] in ids]
+            rows = without_deleted(lake.spark, rows, chosen, dead, lake.data_path)
             size = sum(f["file_size_bytes"] for f in chosen)
             keys = cat.partition_keys(table["table_id"], at)
             parts = max(1, -(-size // target))

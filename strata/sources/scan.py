@@ -150,7 +150,7 @@ def read_files(spark: SparkSession, files: list[dict], columns: list[dict], data
     if len(starts) == 1:
         _, path, start = starts[0]
         return rows.select(*names, F.lit(path).alias("_path"), "_pos", F.coalesce(ROW_ID, F.lit(start).cast("long") + F.col("_pos")).alias("_row_id"))
-    rows = rows.join(spark.createDataFrame(starts, "f string, _path string, start long"), F.col("_file") == F.col("f"))
+    rows = rows.join(F.broadcast(spark.createDataFrame(starts, "f string, _path string, start long")), F.col("_file") == F.col("f"))  # a row a file; Spark takes a list's size for unbounded and would broadcast the table
     return rows.select(*names, "_path", "_pos", F.coalesce(ROW_ID, F.col("start") + F.col("_pos")).alias("_row_id"))
 
 
@@ -204,12 +204,32 @@ def empty(spark: SparkSession, columns: list[dict], meta: bool = False) -> DataF
     return spark.createDataFrame([], T.StructType(fields))
 
 
-def without_deleted(spark: SparkSession, rows: DataFrame, deletes: list[dict], data_path: str) -> DataFrame:
-    """Rows (with _path and _pos) whose places no delete file names; Spark broadcasts the places if they are few."""
+#: Rows of a file whose deleted places are one bitmap of 4 KB, and how many bitmaps are broadcast at most.
+BITMAP_ROWS, BITMAPS = 1 << 15, 1 << 13
+
+
+def broadcast_places(files: list[dict], deletes: list[dict]) -> bool:
+    """Whether the places that ``deletes`` name in ``files`` are broadcast, by the catalog's counts."""
+    return min(sum(d["delete_count"] for d in deletes), sum(f["record_count"] // BITMAP_ROWS + 1 for f in files)) <= BITMAPS
+
+
+def without_deleted(spark: SparkSession, rows: DataFrame, files: list[dict], deletes: list[dict], data_path: str) -> DataFrame:
+    """Rows (with _path and _pos) of ``files`` whose places no delete file names.
+
+    The places go to the tasks as bitmaps, and the rows stay where they are.  If the bitmaps would be too
+    many, rows and places are both shuffled: the driver never holds more than BITMAPS of them.
+    """
     if not deletes:
         return rows
     gone = spark.read.schema("data_path string, pos long").parquet(*[located(data_path, p) for p in sorted({d["path"] for d in deletes})])
-    return rows.join(gone, (F.col("_path") == F.col("data_path")) & (F.col("_pos") == F.col("pos")), "left_anti")
+    gone = gone.select(F.col("data_path").alias("_gone_path"), F.col("pos").alias("_gone_pos"))
+    if not broadcast_places(files, deletes):
+        return rows.join(gone.hint("merge"), (F.col("_path") == F.col("_gone_path")) & (F.col("_pos") == F.col("_gone_pos")), "left_anti")
+    gone = gone.groupBy("_gone_path", F.expr(f"_gone_pos div {BITMAP_ROWS}").alias("_gone_part")).agg(F.bitmap_construct_agg(F.col("_gone_pos") % BITMAP_ROWS).alias("_gone_bits"))
+    rows = rows.join(F.broadcast(gone), (F.col("_path") == F.col("_gone_path")) & (F.expr(f"_pos div {BITMAP_ROWS}") == F.col("_gone_part")), "left")
+    byte = F.ascii(F.decode(F.expr(f"substring(_gone_bits, CAST(_pos % {BITMAP_ROWS} div 8 AS INT) + 1, 1)"), "ISO-8859-1"))
+    clear = F.expr("shiftleft(1, CAST(_pos % 8 AS INT))").bitwiseAND(byte) == 0
+    return rows.where(F.col("_gone_bits").isNull() | clear).drop("_gone_path", "_gone_part", "_gone_bits")
 
 
 def chosen(cat: Catalog, table_id: int, at: int, alternatives: list[list[Filter]]) -> list[dict]:
@@ -238,7 +258,7 @@ def scan(spark: SparkSession, cat: Catalog, data_path: str, table: dict, at: int
     if dirty:
         own = {f["data_file_id"] for f in dirty}
         rows = read_files(spark, dirty, columns, data_path, True, tag)
-        parts.append(without_deleted(spark, rows, [d for d in deletes if d["data_file_id"] in own], data_path).select(*names))
+        parts.append(without_deleted(spark, rows, dirty, [d for d in deletes if d["data_file_id"] in own], data_path).select(*names))
     inlined = inlined_rows(spark, cat, table_id, at, columns, cat.live("inlined_batch", table_id, at), meta)
     if inlined is not None:
         parts.append(inlined.select(*names))
