@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from ..sources.catalog import LakeError, now
-from ..sources.scan import filesystem, inlined_rows, located, read_files, without_deleted
+from ..sources.scan import broadcast_places, filesystem, inlined_rows, located, read_files, without_deleted
 from .write import sort_columns, write
 
 
@@ -63,15 +63,18 @@ def vacuum(lake, name: str) -> list[str]:
         new: list[dict] = []
         if chosen:
             ids = {f["data_file_id"] for f in chosen}
-            rows = read_files(lake.spark, chosen, columns, lake.data_path, meta=True)
             dead = [d for d in deletes if d["data_file_id"] in ids]
-            rows = without_deleted(lake.spark, rows, chosen, dead, lake.data_path)
             size = sum(f["file_size_bytes"] for f in chosen)
             keys = cat.partition_keys(table["table_id"], at)
             parts = max(1, -(-size // target))
-            rows = rows.drop("_path", "_pos")
-            if not keys:
-                rows = rows.repartitionByRange(parts, *sort_columns(sort)) if sort and parts > 1 else rows.coalesce(parts)
+            ranged = sort and parts > 1
+            streamed = not keys and not ranged and broadcast_places(chosen, dead)
+            rows = read_files(lake.spark, chosen, columns, lake.data_path, meta=True, tasks=parts if streamed else None)
+            rows = without_deleted(lake.spark, rows, chosen, dead, lake.data_path).drop("_path", "_pos")
+            if not keys and ranged:
+                rows = rows.repartitionByRange(parts, *sort_columns(sort))
+            elif not keys and not streamed:  # coalesced tasks behind a shuffled join would each hold the sorts of many
+                rows = rows.repartition(parts)
             new = write(rows, lake.data_path, table, columns, keys, sort, options, row_id=True)
             log.append(("end_files", (name, [f["path"] for f in chosen]), {"silent": True}))
             log.append(("add_files", (name, new), {"silent": True}))

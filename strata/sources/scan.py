@@ -137,8 +137,8 @@ def _seen(spark: SparkSession, data_path: str, path: str) -> str:
     return f"{_qualified(spark, data_path)}/{path}"
 
 
-def read_files(spark: SparkSession, files: list[dict], columns: list[dict], data_path: str, meta: bool, tag: str | None = None) -> DataFrame:
-    """Rows of data files in one vectorised scan; ``meta`` adds _path, _pos and _row_id, ``tag`` names the scan."""
+def read_files(spark: SparkSession, files: list[dict], columns: list[dict], data_path: str, meta: bool, tag: str | None = None, tasks: int | None = None) -> DataFrame:
+    """Rows of data files in one vectorised scan; ``meta`` adds _path, _pos and _row_id, ``tag`` names the scan, ``tasks`` are at most so many."""
     schema = read_schema(columns, row_id=meta)
     names = [c["column_name"] for c in columns]
     reader = spark.read.option("mergeSchema", "false")
@@ -146,6 +146,7 @@ def read_files(spark: SparkSession, files: list[dict], columns: list[dict], data
     if not meta:
         return rows.select(*names)
     rows = rows.select(*names, ROW_ID, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_pos"))
+    rows = rows.coalesce(tasks) if tasks else rows  # below the joins, so that a task opens them once
     starts = [(_seen(spark, data_path, f["path"]), f["path"], f["row_id_start"]) for f in files]
     if len(starts) == 1:
         _, path, start = starts[0]

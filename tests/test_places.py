@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from strata.operators import maintenance
 from strata.sources import scan
 
 
@@ -56,3 +57,25 @@ def test_places_of_several_bitmaps(spark, lake, monkeypatch):
     shuffled = lake.table("t")
     assert not below(shuffled, "BroadcastExchange") and "SortMergeJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
     assert [r.k for r in shuffled.orderBy("k").collect()] == want
+
+
+@pytest.mark.parametrize("bitmaps", [scan.BITMAPS, 0])
+def test_vacuum_sorts_nothing_in_coalesced_tasks(spark, lake, monkeypatch, bitmaps):
+    lake.create_table("t", "k long, v double")
+    for i in range(3):
+        lake.insert("t", spark.range(i * 100, i * 100 + 100).selectExpr("id AS k", "CAST(id AS double) AS v").coalesce(1))
+    lake.delete("t", "k % 4 = 0")
+    plans, write = [], maintenance.write
+    monkeypatch.setattr(scan, "BITMAPS", bitmaps)
+    monkeypatch.setattr(maintenance, "write", lambda rows, *a, **how: plans.append(rows) or write(rows, *a, **how))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables above it
+    try:
+        lake.vacuum("t")
+        assert len(plans) == 1 and not any("Join" in s for s in below(plans[0], "Coalesce"))
+        assert bool(below(plans[0], "Coalesce")) == bool(bitmaps)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    files = lake.list_files("t").collect()
+    assert len(files) == 1 and files[0].delete_files == 0
+    assert sorted(r.k for r in lake.table("t").collect()) == [k for k in range(300) if k % 4]
